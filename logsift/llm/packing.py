@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm.tokens import BYTE_BPE, encoder
+from logsift.llm.tokens import BYTE_BPE, encoder, slices
 from logsift.session import shared_dir, ship_package
 
 
@@ -97,8 +97,7 @@ def _pieces(path: str, spaces: bool, end_id: int, size: int):
 
         enc, task, seen = encoder(path, spaces), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                b = batch.slice(lo, 1000)
+            for b in slices(batch, 1):
                 ids, off = enc.encode(b.column(1), end_id)
                 data, rows = ids.astype("<u4").tobytes(), []
                 for doc_id, a, z in zip(b.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist()):

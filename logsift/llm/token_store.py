@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm.crc import shift
-from logsift.llm.tokens import WORD_BPE, encoder
+from logsift.llm.tokens import WORD_BPE, encoder, slices
 from logsift.session import shared_dir, ship_package
 
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 32, 7, 512
@@ -67,44 +67,57 @@ def cuts(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+_ENTRY = np.dtype([("key", "V16"), ("n", "<u4")])
 STAGED = pa.schema([("kind", pa.int8()), ("key", pa.binary()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
 STAGED_DDL = "kind tinyint, key binary, uid long, doc_id long, n long, payload binary"
 
 
+def _binary(data: bytes, bounds: np.ndarray) -> pa.Array:
+    """data[bounds[i]:bounds[i + 1]] as an array, without a copy."""
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data)])
+
+
+def _firsts(keys: list[bytes]) -> np.ndarray:
+    """Where each distinct key stands first."""
+    seen: dict[bytes, int] = {}
+    for i, k in enumerate(keys):
+        seen.setdefault(k, i)
+    return np.fromiter(seen.values(), np.int64, len(seen))
+
+
+def _rows(kind: int, **columns: pa.Array) -> pa.RecordBatch:
+    n = len(columns["key"])
+    columns["kind"] = pa.array(np.full(n, kind, np.int8))
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in STAGED], schema=STAGED)
+
+
 def _stage(path: str, spaces: bool, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
         enc, uid = encoder(path, spaces), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                b = batch.slice(lo, 1000)
+            for b in slices(batch, 1):
                 ids, off = enc.encode(b.column(1), end_id)
                 ends = cuts(ids, off)
-                rows, seen = [], set()
-                data, wide = ids.astype("<u4").tobytes(), bool(len(ids)) and int(ids.max()) > 0xFFFF
-                small = data if wide else ids.astype("<u2").tobytes()
-                w = 4 if wide else 2
-                starts = np.concatenate([[0], ends[:-1]]).tolist()
-                per_row, ends = np.searchsorted(ends, off, "right").tolist(), ends.tolist()
-                doc_ids = b.column(0).to_pylist()
-                for r, doc_id in enumerate(doc_ids):
-                    recipe = bytearray()
-                    for k in range(per_row[r], per_row[r + 1]):
-                        s, e = starts[k], ends[k]
-                        key = digest(data[4 * s : 4 * e])
-                        recipe += key + (e - s).to_bytes(4, "little")
-                        if key not in seen:
-                            seen.add(key)
-                            rows.append((0, key, None, None, e - s, small[w * s : w * e]))
-                    n, recipe = int(off[r + 1] - off[r]), bytes(recipe)
-                    root = digest(recipe)
-                    if root not in seen:
-                        seen.add(root)
-                        rows.append((1, root, None, None, n, recipe))
-                    rows.append((2, root, uid, doc_id, n, None))
-                    uid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), STAGED)], schema=STAGED)
+                bounds = np.concatenate([[0], ends])
+                data, w = ids.astype("<u4").tobytes(), 4 if ids.max() > 0xFFFF else 2
+                at = bounds.tolist()
+                keys = [digest(data[4 * s : 4 * e]) for s, e in zip(at, at[1:])]
+                first, sizes = _firsts(keys), np.diff(bounds)
+                all_keys = _binary(joined := b"".join(keys), 16 * np.arange(len(keys) + 1))
+                payload = _binary(ids.astype(f"<u{w}").tobytes(), w * bounds)
+                yield _rows(0, key=all_keys.take(pa.array(first)), n=pa.array(sizes[first]), payload=payload.take(pa.array(first)))
+                entries = np.empty(len(keys), _ENTRY)
+                entries["key"], entries["n"] = np.frombuffer(joined, "V16"), sizes
+                recipes, per_row = entries.tobytes(), 20 * np.searchsorted(bounds, off)
+                at = per_row.tolist()
+                roots = [digest(recipes[s:e]) for s, e in zip(at, at[1:])]
+                first, n = _firsts(roots), np.diff(off)
+                roots = _binary(b"".join(roots), 16 * np.arange(len(roots) + 1))
+                yield _rows(1, key=roots.take(pa.array(first)), n=pa.array(n[first]), payload=_binary(recipes, per_row).take(pa.array(first)))
+                yield _rows(2, key=roots, n=pa.array(n), doc_id=b.column(0), uid=pa.array(uid + np.arange(len(n))))
+                uid += len(n)
 
     return run
 
@@ -173,33 +186,45 @@ def _ids(payload: bytes, n: int) -> np.ndarray:
 
 def _check_chunks(batches):
     for b in batches:
-        keys, crcs = b.column("key").to_pylist(), []
-        for key, n, payload in zip(keys, b.column("n").to_pylist(), b.column("payload").to_pylist()):
-            data = _ids(payload, n).tobytes()
-            if digest(data) != key:
-                raise ValueError(f"chunk {key.hex()} is damaged")
-            crcs.append(zlib.crc32(data))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(keys, pa.binary()), "crc": pa.array(crcs, pa.int64())})
-
-
-_ENTRY = np.dtype([("key", "V16"), ("n", "<u4")])
+        keys, payloads = b.column("key").to_pylist(), b.column("payload").to_pylist()
+        n = b.column("n").to_numpy().astype(np.int64)
+        width = np.fromiter(map(len, payloads), np.int64, len(payloads)) // np.maximum(n, 1)
+        crcs = np.empty(len(n), np.int64)
+        for w in (2, 4):
+            mine = np.flatnonzero(width == w)
+            data = np.frombuffer(b"".join([payloads[i] for i in mine]), f"<u{w}").astype("<u4").tobytes()
+            ends = np.cumsum(4 * n[mine]).tolist()
+            for i, s, e in zip(mine.tolist(), [0, *ends], ends):
+                part = data[s:e]
+                if digest(part) != keys[i]:
+                    raise ValueError(f"chunk {keys[i].hex()} is damaged")
+                crcs[i] = zlib.crc32(part)
+        if not np.isin(width, (2, 4)).all():
+            raise ValueError("a chunk has another length than it says")
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(crcs)], names=["chunk", "crc"])
 
 
 def _open_recipes(batches):
     for b in batches:
-        chunks, roots, sizes, after, seqs = [], [], [], [], []
-        for root, recipe in zip(b.column("key").to_pylist(), b.column("payload").to_pylist()):
+        roots, recipes = b.column("key"), b.column("payload").to_pylist()
+        for root, recipe in zip(roots.to_pylist(), recipes):
             if digest(recipe) != root:
                 raise ValueError(f"recipe {root.hex()} is damaged")
-            x = np.frombuffer(recipe, _ENTRY)
-            n = x["n"].astype(np.int64)
-            chunks += [recipe[20 * i : 20 * i + 16] for i in range(len(x))]
-            roots += [root] * len(x)
-            sizes.append(n)
-            seqs.append(np.arange(len(x)))
-            after.append(n.sum() - np.cumsum(n))
-        cat = lambda v: np.concatenate(v) if v else np.array([], np.int64)
-        yield pa.RecordBatch.from_pydict({"root": pa.array(roots, pa.binary()), "chunk": pa.array(chunks, pa.binary()), "seq": pa.array(cat(seqs)), "size": pa.array(cat(sizes)), "after": pa.array(cat(after))})
+        n = np.fromiter(map(len, recipes), np.int64, len(recipes)) // 20
+        bounds, entries = np.concatenate([[0], np.cumsum(n)]).astype(np.int64), np.frombuffer(b"".join(recipes), _ENTRY)
+        size = entries["n"].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        row = np.repeat(np.arange(len(n)), n)
+        yield pa.RecordBatch.from_arrays(
+            [
+                roots.take(pa.array(row)),
+                _binary(np.ascontiguousarray(entries["key"]).tobytes(), 16 * np.arange(len(entries) + 1)).cast(pa.binary()),
+                pa.array(np.arange(len(entries)) - bounds[row]),
+                pa.array(size),
+                pa.array(total[bounds[row + 1]] - total[1:]),
+            ],
+            names=["root", "chunk", "seq", "size", "after"],
+        )
 
 
 def _shifted(batches):

@@ -18,82 +18,149 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+END_MARKS = frozenset(".,;:!?")
+
+
+def compact(texts: pa.Array) -> pa.Array:
+    """A copy as large strings from offset 0, nulls as empty texts: string kernels read a
+    cast slice at the wrong place."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    return pc.fill_null(pc.take(texts, pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
+
+
+def slices(batch: pa.RecordBatch, column: int, chars: int = 6_000_000):
+    """Slices of a batch with about so many bytes of text each; one row at least."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chars, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+#: Marks that are always tokens of their own behind letters; fixed values of both vocabularies' rules.
+MARKS = ".,;:!?"
+#: White space that isn't a single space or line break between two other characters, and what stands for "no space before".
+UNEVEN = r"  | \n|\n |\n\n|^[ \n]|[ \n]$|[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], joined."""
+    to = _bounds(size)
+    return values[np.arange(to[-1]) + np.repeat(start - to[:-1], size)]
+
+
 class PieceEncoder:
-    """Ids of texts under one tokenizers file; at most `max_cached` pieces are remembered."""
+    """Ids of texts under one tokenizers file; at most about `max_cached` pieces are remembered.
+
+    A mark behind letters is looked up alone. Runs of letters are encoded many at a time, with
+    a separator between them that has an id of its own."""
 
-    def __init__(self, path: str, spaces: bool, max_cached: int = 600_000):
+    def __init__(self, path: str, spaces: bool, max_cached: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.spaces, self.max_cached = spaces, max_cached
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.size, self.n = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), 0
-
-    def _add(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 20_000):
-            part = pieces[lo : lo + 20_000]
-            got = [e.ids for e in self.tok.encode_batch(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while self.n + len(got) > len(self.start):
-                self.start = np.concatenate([self.start, np.empty_like(self.start)])
-                self.size = np.concatenate([self.size, np.empty_like(self.size)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.size[self.n : self.n + len(got)] = sizes
-            self.start[self.n : self.n + len(got)] = self.used + np.cumsum(sizes) - sizes
-            self.index.update(zip(part, range(self.n, self.n + len(got))))
-            self.n, self.used = self.n + len(got), self.used + len(flat)
-
-    def _codes(self, pieces: list[str]) -> np.ndarray:
-        if missing := [p for p in pieces if p not in self.index]:
-            self._add(missing)
-        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        self.between = "\r" if spaces else " \x01 "
+        (self.mark,) = self._ids([self.between])[0]
+        self.light = None
+        if not spaces:  # what the rules leave of lower-case ASCII letters: each run is one word
+            from tokenizers import normalizers, pre_tokenizers
+
+            self.light = Tokenizer.from_file(path)
+            self.light.normalizer = normalizers.Sequence([])
+            self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(self.between.strip(), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.marks = np.array([self._ids([m])[0] for m in MARKS], np.uint32)[:, 0]
+        self.runs: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.runs) > self.max_cached:
+            self.runs = {}
+        plain, simple, other = [], [], []
+        for p in pieces:
+            if not p[p[:1] == " " :].isalpha():
+                other.append(p)
+            elif self.light and p.isascii() and p.islower():
+                simple.append(p)
+            else:
+                plain.append(p)
+        self._learn_runs(self.tok, plain, self.between)
+        self._learn_runs(self.light, simple, self.between.strip())
+        self.runs.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(other, self._ids(other)))
+
+    def _learn_runs(self, tokenizer, runs: list[str], between: str) -> None:
+        for lo in range(0, len(runs), 500):
+            part = runs[lo : lo + 500]
+            ids = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark).tolist()
+            if len(at) != len(part) - 1:
+                raise ValueError("a run of letters holds the separator")
+            data = ids.tobytes()
+            self.runs.update((r, data[4 * a + 4 : 4 * z]) for r, a, z in zip(part, [-1, *at], [*at, len(ids)]))
+
+    def _table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct pieces, bounds of each)."""
+        if not self.spaces:  # the tokenizer lowers letters itself
+            pieces = pc.if_else(pc.match_substring_regex(pieces, rf"^[A-Za-z]+[{MARKS}]?$"), pc.ascii_lower(pieces), pieces)
+        marked = pc.match_substring_regex(pieces, rf"^\x1f?\pL+[{MARKS}]$")
+        d = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+        words = d.dictionary.to_pylist()
+        if self.spaces:
+            words = [w[1:] if w[:1] == "\x1f" else w if w == "\n" else " " + w for w in words]
+        runs = self.runs
+        if missing := [w for w in words if w not in runs]:
+            self._learn(missing)
+            runs = self.runs
+            if again := [w for w in words if w not in runs]:  # forgotten meanwhile
+                self._learn(again)
+        got = [runs[w] for w in words]
+        values, bounds = np.frombuffer(b"".join(got), "<u4"), _bounds(np.fromiter(map(len, got), np.int64, len(got)) // 4)
+        which, marked = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), marked.to_numpy(zero_copy_only=False)
+        start, size = bounds[which], np.diff(bounds)[which]
+        to = _bounds(size + marked)
+        ids, inner = np.empty(to[-1], np.uint32), np.ones(to[-1], bool)
+        last = to[1:][marked] - 1
+        inner[last] = False
+        ids[inner] = _gather(values, start, size)
+        tails = pc.utf8_slice_codeunits(pieces.filter(pa.array(marked)), -1, None)
+        ids[last] = self.marks[pc.index_in(tails, pa.array(list(MARKS), pieces.type)).to_numpy(zero_copy_only=False).astype(np.int64)]
+        return ids, to
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, row offsets); a null text is empty, `end_id` closes each row."""
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        if len(self.index) > self.max_cached:
-            self._reset()
-        parts = pc.split_pattern(texts, " ")
-        offsets, flat = parts.offsets.to_numpy().astype(np.int64), parts.values
-        flat = flat.slice(offsets[0], offsets[-1] - offsets[0])
-        offsets = offsets - offsets[0]
-        d = flat.dictionary_encode()
-        which, words = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
-        if not self.spaces:
-            codes = self._codes(words)[which]
-        else:
-            codes = self._codes([" " + w for w in words])[which]
-            first = offsets[:-1]
-            codes[first] = self._codes(pc.take(flat, pa.array(first)).to_pylist())
-            whole = np.flatnonzero(pc.match_substring_regex(texts, r" [\s\p{Z}\x0b\x{85}\x1c-\x1f]|\s$").to_numpy(zero_copy_only=False))
-            if len(whole):
-                keep = np.ones(len(codes), bool)
-                for r in whole:
-                    keep[offsets[r] + 1 : offsets[r + 1]] = False
-                codes[offsets[whole]] = self._codes(pc.take(texts, pa.array(whole)).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(keep, offsets[:-1]) if len(first) else [])]).astype(np.int64)
-                codes = codes[keep]
-        rows = len(offsets) - 1
-        sizes = self.size[codes]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        row_end = total[offsets]
-        out_off = row_end + np.arange(rows + 1)
-        at = np.arange(total[-1]) + np.repeat(self.start[codes] - total[:-1], sizes)
-        out = np.full(int(out_off[-1]), end_id, np.uint32)
-        fill = np.ones(len(out), bool)
-        fill[out_off[1:] - 1] = False
-        out[fill] = self.ids[at]
-        return out, out_off
+        texts, whole = compact(texts), np.array([], np.int64)
+        if self.spaces:
+            uneven = pc.match_substring_regex(texts, UNEVEN)
+            whole = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+            even = pc.if_else(uneven, pa.scalar("", texts.type), texts) if len(whole) else texts
+            cut = pc.binary_join_element_wise(pa.scalar("\x1f", texts.type), pc.replace_substring(even, "\n", " \n \x1f"), pa.scalar("", texts.type))
+        else:  # one white-space character is as good as another
+            cut = pc.replace_substring(texts, "\n", " ")
+        parts = pc.split_pattern(cut, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        d = parts.values.dictionary_encode()
+        codes = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, bounds = self._table(d.dictionary)
+        if len(whole):  # such a row is one piece, and gets the ids of its whole text
+            more = [np.array(x, np.uint32) for x in self._ids(pc.take(texts, pa.array(whole)).to_pylist())]
+            codes[offsets[whole]] = len(bounds) - 1 + np.arange(len(whole))
+            ids = np.concatenate([ids, *more])
+            bounds = np.concatenate([bounds, bounds[-1] + np.cumsum([len(x) for x in more])])
+        start, size = bounds[codes], np.diff(bounds)[codes]
+        ends = _bounds(size)[offsets] + np.arange(len(offsets))
+        out, inner = np.full(int(ends[-1]), end_id, np.uint32), np.ones(int(ends[-1]), bool)
+        inner[ends[1:] - 1] = False
+        out[inner] = _gather(ids, start, size)
+        return out, ends
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
