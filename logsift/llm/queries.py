@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from logsift.llm.html_text import op8_html_extraction
+from logsift.llm.media import op7_media_columns
+from logsift.llm.ngram_lm import op2_lm_scoring
 from logsift.llm.packing import op5_packing
 from logsift.llm.token_store import op1_token_store
+from logsift.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_lm_scoring": op2_lm_scoring,
     "op5_packing": op5_packing,
+    "op7_media_columns": op7_media_columns,
+    "op8_html_extraction": op8_html_extraction,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
