@@ -61,8 +61,9 @@ class PieceEncoder:
     A mark behind letters is looked up alone. Runs of letters are encoded many at a time, with
     a separator between them that has an id of its own."""
 
-    def __init__(self, path: str, spaces: bool, max_cached: int = 700_000):
+    def __init__(self, path: str, spaces: bool, max_cached: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
