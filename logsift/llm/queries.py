@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logsift.llm.html_text import op8_html_extraction
+from logsift.llm.jaccard_join import op9_jaccard_join
 from logsift.llm.media import op7_media_columns
 from logsift.llm.ngram_lm import op2_lm_scoring
 from logsift.llm.packing import op5_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_media_columns": op7_media_columns,
     "op8_html_extraction": op8_html_extraction,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
