@@ -332,6 +332,18 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return out.unionByName(rows.where("n = 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("uid").alias("first_uid")))
 
 
+def first_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """docs with one document of each component, that of the least doc_id; of repeated rows one
+    stays. Documents without words all stay."""
+    found = _kept(similar_documents(docs, width, percent), "join-found")
+    some = found.where("n_shingles > 0")
+    ids = some.groupBy("doc_id").agg(F.count("*").alias("_times"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
+    ids = ids.withColumnRenamed("doc_id", "_id")
+    joined = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left").where(F.col("_stays").isNull() | F.col("_stays"))
+    twice = joined.where("_times > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return joined.where("_times is null or _times = 1").select(*docs.columns).unionByName(twice)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return similar_documents(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logsift.llm.decontamination import op3_decontamination
 from logsift.llm.html_text import op8_html_extraction
 from logsift.llm.jaccard_join import op9_jaccard_join
 from logsift.llm.media import op7_media_columns
@@ -15,6 +16,7 @@ from logsift.llm.url_filter import op6_url_filters
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_decontamination": op3_decontamination,
     "op4_pii_surrogates": op4_pii_surrogates,
     "op5_packing": op5_packing,
     "op6_url_filters": op6_url_filters,

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.llm.tokens import slices
 from logsift.llm.words import split_words
@@ -275,18 +276,20 @@ def _summaries(model: dict, without: dict[int, dict[str, float]]):
     return run
 
 
-def _score(model: dict):
+def _score(model: dict, column: int, kept: list[int], names: list[str]):
+    """Columns `kept` of each batch, and the score of the texts in `column`."""
+
     def run(batches):
         weigher = _Weigher(model["weights"], CharacterModel(model["trigrams"]))
         for batch in batches:
-            for b, offsets, codes, words in _sets(batch, 1, None):
+            for b, offsets, codes, words in _sets(batch, column, None):
                 score = np.full(b.num_rows, FLOOR)
                 if model["logistic"]:
                     mean, scale, coefficients = map(np.array, model["logistic"])
                     x = np.array([_summary(x) for x in _documents(b, offsets, codes, words, [weigher] * b.num_rows)])
                     z = ((x - mean) / scale) @ coefficients[:-1] + coefficients[-1]
                     score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(score)], names=names)
 
     return run
 
@@ -294,7 +297,18 @@ def _score(model: dict):
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of docs(doc_id, text)."""
     ship_package(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(_score(model, 1, [0], ["doc_id", "score"]), "doc_id long, score double")
+
+
+def clean_documents(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that score `threshold` or more; all columns stay."""
+    ship_package(docs.sparkSession)
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    scored = docs.mapInArrow(_score(model, docs.columns.index("text"), list(range(len(docs.columns))), [*docs.columns, name]), schema)
+    return scored.where(F.col(name) < threshold).drop(name)
 
 
 def held_out() -> Column:
