@@ -29,7 +29,7 @@ def compact(texts: pa.Array) -> pa.Array:
     return pc.fill_null(pc.take(texts, pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
 
 
-def slices(batch: pa.RecordBatch, column: int, chars: int = 6_000_000):
+def slices(batch: pa.RecordBatch, column: int, chars: int = 5_000_000):
     """Slices of a batch with about so many bytes of text each; one row at least."""
     total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -39,8 +39,9 @@ def slices(batch: pa.RecordBatch, column: int, chars: int = 6_000_000):
         at = end
 
 
-#: Marks that are always tokens of their own behind letters; fixed values of both vocabularies' rules.
-MARKS = ".,;:!?"
+#: Marks whose runs behind letters are always apart from them, by both vocabularies' rules: ASCII's but the apostrophe.
+MARKS_TEXT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS = "".join("\\" + c for c in MARKS_TEXT)
 #: White space that isn't a single space or line break between two other characters, and what stands for "no space before".
 UNEVEN = r"  | \n|\n |\n\n|^[ \n]|[ \n]$|[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -56,12 +57,12 @@ def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 class PieceEncoder:
-    """Ids of texts under one tokenizers file; at most about `max_cached` pieces are remembered.
+    """Ids of texts under one tokenizers file; pieces met among the last `max_cached` to twice as many are remembered.
 
-    A mark behind letters is looked up alone. Runs of letters are encoded many at a time, with
+    Marks behind letters are looked up alone. Runs of letters are encoded many at a time, with
     a separator between them that has an id of its own."""
 
-    def __init__(self, path: str, spaces: bool, max_cached: int = 400_000):
+    def __init__(self, path: str, spaces: bool, max_cached: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         from tokenizers import Tokenizer
@@ -77,15 +78,13 @@ class PieceEncoder:
             self.light = Tokenizer.from_file(path)
             self.light.normalizer = normalizers.Sequence([])
             self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(self.between.strip(), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.marks = np.array([self._ids([m])[0] for m in MARKS], np.uint32)[:, 0]
         self.runs: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # those of the time before, kept as long as they are met again
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.runs) > self.max_cached:
-            self.runs = {}
         plain, simple, other = [], [], []
         for p in pieces:
             if not p[p[:1] == " " :].isalpha():
@@ -111,30 +110,35 @@ class PieceEncoder:
     def _table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of distinct pieces, bounds of each)."""
         if not self.spaces:  # the tokenizer lowers letters itself
-            pieces = pc.if_else(pc.match_substring_regex(pieces, rf"^[A-Za-z]+[{MARKS}]?$"), pc.ascii_lower(pieces), pieces)
-        marked = pc.match_substring_regex(pieces, rf"^\x1f?\pL+[{MARKS}]$")
-        d = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces).dictionary_encode()
+            pieces = pc.if_else(pc.match_substring_regex(pieces, rf"^[A-Za-z]+[{MARKS}]*$"), pc.ascii_lower(pieces), pieces)
+        marked = pc.match_substring_regex(pieces, rf"^\x1f?\pL+[{MARKS}]+$")
+        heads = pc.if_else(marked, pc.utf8_rtrim(pieces, MARKS_TEXT), pieces)
+        d, which = heads.dictionary_encode(), np.flatnonzero(marked.to_numpy(zero_copy_only=False))
         words = d.dictionary.to_pylist()
         if self.spaces:
             words = [w[1:] if w[:1] == "\x1f" else w if w == "\n" else " " + w for w in words]
-        runs = self.runs
-        if missing := [w for w in words if w not in runs]:
-            self._learn(missing)
-            runs = self.runs
-            if again := [w for w in words if w not in runs]:  # forgotten meanwhile
-                self._learn(again)
+        some = pa.array(which)
+        tails = pc.replace_substring_regex(pieces.take(some), r"^\x1f?\pL+", "")
+        t = tails.dictionary_encode()
+        ends = t.dictionary.to_pylist()
+        if len(self.runs) > self.max_cached:
+            self.before, self.runs = self.runs, {}
+        runs, before = self.runs, self.before
+        if missing := [w for w in (*words, *ends) if w not in runs]:
+            known = [w for w in missing if w in before]
+            runs.update((w, before[w]) for w in known)
+            if len(known) < len(missing):
+                self._learn([w for w in missing if w not in runs])
         got = [runs[w] for w in words]
+        got += [runs[w] for w in ends]
         values, bounds = np.frombuffer(b"".join(got), "<u4"), _bounds(np.fromiter(map(len, got), np.int64, len(got)) // 4)
-        which, marked = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), marked.to_numpy(zero_copy_only=False)
-        start, size = bounds[which], np.diff(bounds)[which]
-        to = _bounds(size + marked)
-        ids, inner = np.empty(to[-1], np.uint32), np.ones(to[-1], bool)
-        last = to[1:][marked] - 1
-        inner[last] = False
-        ids[inner] = _gather(values, start, size)
-        tails = pc.utf8_slice_codeunits(pieces.filter(pa.array(marked)), -1, None)
-        ids[last] = self.marks[pc.index_in(tails, pa.array(list(MARKS), pieces.type)).to_numpy(zero_copy_only=False).astype(np.int64)]
-        return ids, to
+        sizes = np.diff(bounds)
+        both = np.empty((len(pieces), 2), np.int64)  # each piece is its head and, perhaps, its marks
+        both[:, 0], both[:, 1] = d.indices.to_numpy(zero_copy_only=False), -1
+        both[which, 1] = len(words) + t.indices.to_numpy(zero_copy_only=False)
+        both = both.reshape(-1)
+        size = np.where(both < 0, 0, sizes[both])
+        return _gather(values, bounds[:-1][both], size), _bounds(size.reshape(-1, 2).sum(1))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, row offsets); a null text is empty, `end_id` closes each row."""
