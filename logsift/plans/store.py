@@ -55,27 +55,28 @@ class QueryStats:
 
 @dataclass
 class Result:
-    """A search: `rows` runs when an action does, and then fills the counters."""
+    """A search: `rows` runs when an action does; finished() then has the counters."""
 
     rows: DataFrame
     stats: QueryStats
-    _scanned: Observation = field(repr=False)
     _matched: Observation = field(repr=False)
+    _plain: DataFrame = field(repr=False)
     _began: float = field(default_factory=time.monotonic, repr=False)
 
-    def finished(self) -> QueryStats:
-        """The counters, once `rows` has been read."""
-        self.stats.entries_scanned = self._scanned.get["n"]
-        self.stats.entries_matched = self._matched.get["n"]
+    def finished(self, matched: int | None = None) -> QueryStats:
+        """The counters, once an action such as collect() or a write has run over `rows`."""
+        self.stats.entries_matched = self._matched.get["n"] if matched is None else matched
         self.stats.duration_ms = int((time.monotonic() - self._began) * 1000)
         return self.stats
 
     def to_json(self):
         """The response, piece by piece; rows stream from the executors."""
         yield '{"data":['
-        for i, r in enumerate(self.rows.toLocalIterator()):
-            yield ("," if i else "") + json.dumps({"timestamp": r.timestamp, "data": r.data}, ensure_ascii=False)
-        yield f'],"stats":{json.dumps(self.finished().to_json())}}}'
+        n = 0
+        for r in self._plain.toLocalIterator():  # which observations don't see
+            yield ("," if n else "") + json.dumps({"timestamp": r.timestamp, "data": r.data}, ensure_ascii=False)
+            n += 1
+        yield f'],"stats":{json.dumps(self.finished(n).to_json())}}}'
 
 
 class LogStore:
@@ -220,8 +221,9 @@ class LogStore:
             if posted is not None:
                 kept = [p for p in near if p.part_id in posted]
                 stats.used_index, stats.parts_pruned_by_index, near = True, len(near) - len(kept), kept
-        stats.parts_scanned = len(near)
-        scanned, matched = Observation(), Observation()
+        stats.parts_scanned, stats.entries_scanned = len(near), sum(p.count for p in near)
+        matched = Observation()
         columns = {"service_name": F.col("service_name"), "level": F.col("level")}
-        rows = search.matching(self._open(near).observe(scanned, F.count("*").alias("n")), start=start, end=end, term=term, q=m, label_of=lambda k: columns.get(k, F.element_at("labels", k)))
-        return Result(rows.select("timestamp", "data").observe(matched, F.count("*").alias("n")), stats, scanned, matched)
+        rows = search.matching(self._open(near), start=start, end=end, term=term, q=m, label_of=lambda k: columns.get(k, F.element_at("labels", k)))
+        rows = rows.select("timestamp", "data")
+        return Result(rows.observe(matched, F.count("*").alias("n")), stats, matched, rows)
