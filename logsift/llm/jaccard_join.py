@@ -6,8 +6,10 @@
    into steps of the threshold, and a set is cut for its own step and for the next.
 2. Part sums travel as packed, sorted blobs by hash range; where two or more sets agree in a part,
    they form a block. Documents with equal sets are one class from here on.
-3. Every class of a block is searched against the block's first class. What links is joined, and
-   only classes of a block that are still in different components are paired (within the bounds of their sizes).
+3. Every class of a block is searched against one class of the block, that of most blocks. What
+   links is joined. All that were tested against one class include every pair that shares a block; of
+   them, those still in other components search the rest, by what they differ in from that class, in
+   cells of bounded size that give no more links than it takes to join components.
 4. A search takes the inverted lists of the query's shingles over its candidates and needs T
    occurrences: DivideSkip sets the longest lists apart, merges the others in a heap, and probes
    the long ones by binary search for those candidates that can still reach T.
@@ -21,6 +23,7 @@ component's least. Repeated rows are one class. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import os
 from bisect import bisect_left
 from itertools import groupby
 
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 
 from logsift.llm.tokens import slices
 from logsift.llm.words import hashes, mix, part_of, split_words
-from logsift.session import shared_dir, ship_package
+from logsift.llm.ngram_lm import _save
+from logsift.session import local_path, shared_dir, ship_package
 
 FLUSH = 4_000_000
+CELL, CELL_BYTES = 256, 4 << 20  # rows that ask, and bytes, in one cell of a search
 
 
 def required(a: int, b: int, percent: int) -> int:
@@ -160,7 +165,7 @@ def _stage(width: int, percent: int, shards: int):
                 offsets, sets = shingle_sets(b.column(1), width)
                 hi, lo = _digests(offsets, sets)
                 n, own = np.diff(offsets), uid + np.arange(b.num_rows)
-                yield _rows(kind=pa.array([0] * b.num_rows), uid=pa.array(own), doc_id=b.column(0), n=pa.array(n), hi=pa.array(hi), lo=pa.array(lo))
+                yield _rows(kind=pa.array([0] * b.num_rows), uid=pa.array(own), doc_id=b.column(0), n=pa.array(n), hi=pa.array(hi), lo=pa.array(lo), shard=pa.array(own % shards))
                 if len(seen) > 500_000:
                     seen.clear()
                 fresh = np.zeros(b.num_rows, bool)  # a set that this task has cut before adds nothing
@@ -184,42 +189,116 @@ def _stage(width: int, percent: int, shards: int):
 
 
 def _blocks(batches):
-    """(key, uid) of all part sums that two or more rows have."""
-    def agreeing(blobs):
+    """Of rows sorted by kind and shard: documents as they are; of each shard's blobs the (key,
+    uid) pairs of part sums that two or more rows have, packed; and in how many blocks each row is (kind 2)."""
+
+    def agreeing(shard: int, blobs: list[bytes]):
         k, u = map(np.concatenate, zip(*map(_unpack, blobs)))
         order = np.argsort(k, kind="stable")
         k, u = k[order], u[order]
         same = k[1:] == k[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pa.RecordBatch.from_pydict({"key": pa.array(k[keep].astype(np.int64)), "uid": pa.array(u[keep])})
+        k, u = k[keep], u[keep]
+        if len(k):
+            uids, times = np.unique(u, return_counts=True)
+            yield _rows(kind=pa.array([1]), shard=pa.array([shard]), data=pa.array([_pack(k, u)], pa.binary()))
+            yield _rows(kind=pa.array([2] * len(uids)), uid=pa.array(uids), n=pa.array(times))
 
     at, blobs = None, []
     for b in batches:
-        for shard, data in zip(b.column("shard").to_pylist(), b.column("data").to_pylist()):
+        kind = b.column("kind").to_numpy()
+        yield b.filter(pa.array(kind == 0))
+        some = b.filter(pa.array(kind == 1))
+        for shard, data in zip(some.column("shard").to_pylist(), some.column("data").to_pylist()):
             if at is not None and shard != at:
-                yield agreeing(blobs)
+                yield from agreeing(at, blobs)
                 blobs = []
             at = shard
             blobs.append(data)
     if blobs:
-        yield agreeing(blobs)
+        yield from agreeing(at, blobs)
+
+
+class LongFile:
+    """Longs in shards of sorted arrays in the shared folder, each perhaps with a value; mapped by workers."""
+
+    def __init__(self, path: str, shards: int):
+        self.path, self.shards = path, shards
+
+    @classmethod
+    def write(cls, df: DataFrame, shards: int) -> LongFile:
+        """From df(key[, value]) with distinct keys."""
+        path = local_path(shared_dir(df.sparkSession, "longs"))
+
+        def save(batches):
+            held: dict[int, list] = {}
+            for b in batches:
+                for p in np.unique(shard := b.column("shard").to_numpy()):
+                    held.setdefault(int(p), []).append((b.column("key").to_numpy()[shard == p], b.column("value").to_numpy()[shard == p]))
+            for p, parts in held.items():
+                key, value = map(np.concatenate, zip(*parts))
+                order = np.argsort(key, kind="stable")
+                _save(f"{path}/{p}.npy", np.stack([key[order], value[order]]))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([p], pa.int32())})
+
+        value = F.col("value") if "value" in df.columns else F.lit(0)
+        rows = df.where("key is not null").select(F.col("key").cast("long").alias("key"), value.cast("long").alias("value"), F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
+        rows.repartition(shards, "shard").mapInArrow(save, "shard int").count()
+        return cls(path, shards)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each key is there, its value)."""
+        known, values, shard = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), keys % self.shards
+        for p in np.unique(shard):
+            if os.path.exists(f := f"{self.path}/{p}.npy"):
+                table, mine = np.load(f, mmap_mode="r"), np.flatnonzero(shard == p)
+                at = np.minimum(np.searchsorted(table[0], keys[mine]), table.shape[1] - 1)
+                ok = table[0][at] == keys[mine]
+                known[mine], values[mine] = ok, np.where(ok, table[1][at], 0)
+        return known, values
+
+
+def _centres(blocks_of: LongFile):
+    """(a, b): each row of a block with that row of it which is in most blocks of all."""
+
+    def run(batches):
+        seen = np.empty((0, 2), np.int64)
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                k, u = _unpack(data)
+                uids, back = np.unique(u, return_inverse=True)
+                rank = blocks_of.find(uids)[1][back]
+                order = np.lexsort((u, -rank, k))
+                k, u = k[order], u[order]
+                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                centre = np.repeat(u[first], np.diff(np.append(first, len(k))))
+                seen = np.unique(np.concatenate([seen, np.stack([centre, u], 1)[centre != u]]), axis=0)
+                if len(seen) > 500_000:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(seen[:, 0]), "b": pa.array(seen[:, 1])})
+                    seen = np.empty((0, 2), np.int64)
+        if len(seen):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(seen[:, 0]), "b": pa.array(seen[:, 1])})
+
+    return run
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int) -> list[int]:
-    """Which candidates (sorted sets) are linked with the query (a sorted set)."""
-    sizes = [len(c) for c in candidates]
-    need = [required(len(query), n, percent) for n in sizes]
-    flat = np.concatenate(candidates)
-    owner = np.repeat(np.arange(len(candidates)), sizes)
+def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: list[int]) -> list[int]:
+    """Which candidates (sorted sets) share at least as many elements with the query as each needs."""
+    found = [c for c, t in enumerate(need) if t <= 0]
+    rest = [c for c, t in enumerate(need) if t > 0]
+    if not rest:
+        return found
+    flat = np.concatenate([candidates[c] for c in rest])
+    owner = np.repeat(rest, [len(candidates[c]) for c in rest])
     at = np.searchsorted(query, flat)
-    hit = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == flat)
+    hit = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == flat) if len(query) else np.zeros(len(flat), bool)
     order = np.lexsort((owner[hit], at[hit]))
     token, owner = at[hit][order], owner[hit][order]
     ends = np.searchsorted(token, np.arange(len(query) + 1)).tolist()
     owner = owner.tolist()
     lists = sorted((owner[a:z] for a, z in zip(ends, ends[1:])), key=len, reverse=True)
-    apart = max(0, min(min(need) - 1, sum(len(x) * 4 > len(candidates) for x in lists)))  # long lists, fewer than T of them
-    longs, found = lists[:apart], []
+    apart = min(min(need[c] for c in rest) - 1, sum(len(x) * 4 > len(rest) for x in lists))  # long lists, fewer than T of them
+    longs = lists[:apart]
     for c, times in groupby(heapq.merge(*lists[apart:])):
         count = sum(1 for _ in times)
         for k, x in enumerate(longs):
@@ -232,31 +311,74 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int) -
     return found
 
 
+TESTED = "a long, b long, na long, nb long, linked boolean, apart binary"
+
+
 def _search(percent: int):
-    """Rows (a, b, sa, sb), those of one a together: gives the pairs that are linked."""
+    """Rows (a, b, sa, sb), those of one a together, with whether they are linked and what they differ in."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            sa, sb = batch.column("sa"), batch.column("sb")
-            left, right, start = [], [], 0
+            a, sa, start, out = batch.column("a").to_pylist(), batch.column("sa"), 0, []
+            b = batch.column("b").to_pylist()
             for _, rows in groupby(a):
                 n = sum(1 for _ in rows)
                 query = np.frombuffer(sa[start].as_py(), "<u8")
-                for i in divide_skip(query, [np.frombuffer(x, "<u8") for x in sb.slice(start, n).to_pylist()], percent):
-                    left.append(a[start + i])
-                    right.append(b[start + i])
+                sets = [np.frombuffer(x, "<u8") for x in batch.column("sb").slice(start, n).to_pylist()]
+                linked = set(divide_skip(query, sets, [required(len(query), len(x), percent) for x in sets]))
+                out += [(a[start], b[start + i], len(query), len(x), i in linked, np.setxor1d(query, x, True).tobytes()) for i, x in enumerate(sets)]
                 start += n
-            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+            c = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=[f.split()[0] for f in TESTED.split(", ")])
 
     return run
 
 
-def _sets(width: int):
+def _search_apart(percent: int):
+    """One cell of those that were tested against the same class: searches its rows of other
+    components (`asks`) among all of the cell, by what each differs in from that class. Gives
+    links that join components, no more than it takes to join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.select(["b", "nb", "comp", "asks", "apart"]).to_pylist(), key=lambda r: (r["b"], not r["asks"]))
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.get(x, x) != x:
+                top[x] = x = top.get(top[x], top[x])
+            return x
+
+        sets = [np.frombuffer(r["apart"], "<u8") for r in rows]
+        left, right = [], []
+        for k, r in enumerate(rows):
+            if not r["asks"]:
+                continue
+            own = find(r["comp"])
+            some = [j for j, x in enumerate(rows) if find(x["comp"]) != own and x["nb"] * 100 >= r["nb"] * percent and r["nb"] * 100 >= x["nb"] * percent]
+            need = [required(r["nb"], rows[j]["nb"], percent) + (len(sets[k]) + len(sets[j]) - r["nb"] - rows[j]["nb"]) // 2 for j in some]
+            for i in divide_skip(sets[k], [sets[j] for j in some], need) if some else ():
+                x, y = find(r["comp"]), find(rows[some[i]]["comp"])
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+                    left.append(r["b"])
+                    right.append(rows[some[i]]["b"])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
+def _sets(width: int, ids: LongFile, nulls: bool):
+    """Sets of those rows whose doc_id is among `ids` (or null, where that is asked for)."""
+
     def run(batches):
         for batch in batches:
-            for b in slices(batch, 0, 3_000_000):
-                offsets, sets = shingle_sets(b.column(0), width)
+            doc_id = batch.column(0)
+            null = doc_id.is_null().to_numpy(zero_copy_only=False)
+            wanted = ids.find(doc_id.fill_null(0).to_numpy(zero_copy_only=False))[0] & ~null | null & nulls
+            some = batch.filter(pa.array(wanted))
+            for b in slices(some, 1, 3_000_000):
+                offsets, sets = shingle_sets(b.column(1), width)
                 hi, lo = _digests(offsets, sets)
                 data = sets.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_pydict({"hi": pa.array(hi), "lo": pa.array(lo), "shingles": pa.array([data[8 * x : 8 * z] for x, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())})
@@ -271,14 +393,16 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) of classes that are linked."""
+def _tested(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """pairs(a, b) of classes, each with whether it is linked and what its sets differ in."""
     needed = _kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node"), "join-needed")
-    texts = docs.select("doc_id", "text").join(needed.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(needed["doc_id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(width), "hi long, lo long, shingles binary")
+    shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = LongFile.write(needed.select(F.col("doc_id").alias("key")).distinct(), shards)
+    nulls = needed.where("doc_id is null").limit(1).count() > 0
+    sets = docs.select("doc_id", "text").mapInArrow(_sets(width, ids, nulls), "hi long, lo long, shingles binary")
     sets = _kept(sets.join(needed, ["hi", "lo"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "join-sets")
     full = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    return _kept(full.select("a", "b", "sa", "sb").sortWithinPartitions("a").mapInArrow(_search(percent), "a long, b long"), "join-links")
+    return _kept(full.select("a", "b", "sa", "sb").sortWithinPartitions("a").mapInArrow(_search(percent), TESTED), "join-tested")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,27 +428,36 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ship_package(spark)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     staged = shared_dir(spark, "join-staged")
-    docs.select("doc_id", "text").mapInArrow(_stage(width, percent, shards), STAGED).write.partitionBy("kind").parquet(staged)
+    cut = docs.select("doc_id", "text").mapInArrow(_stage(width, percent, shards), STAGED)
+    dealt = cut.repartition(shards, "shard").sortWithinPartitions("kind", "shard")
+    dealt.mapInArrow(_blocks, STAGED).write.partitionBy("kind").parquet(staged)
     read = spark.read.schema(STAGED).parquet(staged)
     rows = read.where("kind = 0").select("uid", "doc_id", "n", "hi", "lo")
-    blobs = read.where("kind = 1").select("shard", "data").repartition(shards, "shard").sortWithinPartitions("shard")
     classes = _kept(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.first("n").alias("n")), "join-classes")
-    blocks = _kept(blobs.mapInArrow(_blocks, "key long, uid long"), "join-blocks")
-    node_of = rows.select("uid", "hi", "lo").join(classes.select("hi", "lo", "node", "n"), ["hi", "lo"]).select("uid", "node", "n")
-    members = _kept(blocks.join(node_of, "uid").select("key", "node", "n").distinct(), "join-members")
-    firsts = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    stars = _kept(members.join(firsts, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "join-pairs")
-    identity = classes.select("hi", "lo", "node", "doc_id")
-    links = _linked(stars, identity, docs, width, percent)
+    # the row of most blocks is the likeliest to be what the others of a block were made from
+    blocks_of = LongFile.write(read.where("kind = 2").groupBy("uid").agg(F.sum("n").alias("value")).withColumnRenamed("uid", "key"), shards)
+    near = read.where("kind = 1").select("data").mapInArrow(_centres(blocks_of), "a long, b long").distinct()
+    node_of = rows.where("n > 0").join(classes.select("hi", "lo", "node"), ["hi", "lo"]).select("uid", "node")
+    stars = near.join(node_of.select(F.col("uid").alias("a"), F.col("node").alias("x")), "a").join(node_of.select(F.col("uid").alias("b"), F.col("node").alias("z")), "b")
+    stars = _kept(stars.where("x <> z").select(F.col("x").alias("a"), F.col("z").alias("b")).distinct(), "join-pairs")
+    tested = _tested(stars, classes.select("hi", "lo", "node", "doc_id"), docs, width, percent)
+    links = tested.where("linked").select("a", "b")
     comps = components(links)
-    at = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("z")).where("x < z").select("key")
-    left = _kept(at.join(mixed, "key"), "join-mixed")
-    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    near = (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)
-    rest = left.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").where((F.col("comp") < F.col("cb")) & near).select("a", "b").distinct()
-    rest = _kept(rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "join-pairs")
-    comps = _kept(components(links.union(_linked(rest, identity, docs, width, percent))), "join-components")
+    comp_of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    at = tested.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left").withColumns({"home": F.coalesce("comp_a", "a"), "comp": F.coalesce("comp_b", "b")})
+    at = _kept(at.select("a", "b", "nb", "apart", "comp", (F.col("comp") != F.col("home")).alias("asks")), "join-mixed")
+    size = F.length("apart") + 64
+    cells = at.groupBy("a").agg(
+        F.ceil(F.greatest(F.count_if("asks") / CELL, F.sum(F.when(F.col("asks"), size).otherwise(0)) / CELL_BYTES)).cast("int").alias("asking"),
+        F.ceil(F.greatest(F.count("*") / (4 * CELL), F.sum(size) / CELL_BYTES)).cast("int").alias("asked"),
+        F.count("*").alias("all"),
+    ).where("asking > 0 and all > 1")
+    placed = at.join(cells, "a")
+    i, j = F.pmod(F.hash("b"), F.col("asking")), F.pmod(F.hash("b"), F.col("asked"))
+    ask = placed.where("asks").select("a", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), "b", "nb", "comp", "asks", "apart")
+    told = placed.select("a", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), j.alias("j"), "b", "nb", "comp", F.lit(False).alias("asks"), "apart")
+    more = ask.unionByName(told).groupBy("a", "i", "j").applyInArrow(_search_apart(percent), "a long, b long")
+    comps = _kept(components(_kept(links.union(more), "join-links")), "join-components")
     of_class = classes.join(comps, "node", "left").select("hi", "lo", F.coalesce("comp", "node").alias("comp"))
     joined = _kept(rows.where("n > 0").join(of_class, ["hi", "lo"]).select("uid", "doc_id", "n", "comp"), "join-rows")
     least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("uid").alias("first_uid"))
