@@ -42,6 +42,8 @@ def slices(batch: pa.RecordBatch, column: int, chars: int = 5_000_000):
 #: Marks whose runs behind letters are always apart from them, by both vocabularies' rules: ASCII's but the apostrophe.
 MARKS_TEXT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MARKS = "".join("\\" + c for c in MARKS_TEXT)
+#: Letters of Latin and Cyrillic scripts that stay single letters under NFC and in lower case (U+0130 doesn't).
+LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}\x{400}-\x{45f}"
 #: White space that isn't a single space or line break between two other characters, and what stands for "no space before".
 UNEVEN = r"  | \n|\n |\n\n|^[ \n]|[ \n]$|[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -111,14 +113,14 @@ class PieceEncoder:
         """(ids of distinct pieces, bounds of each)."""
         if not self.spaces:  # the tokenizer lowers letters itself
             pieces = pc.if_else(pc.match_substring_regex(pieces, rf"^[A-Za-z]+[{MARKS}]*$"), pc.ascii_lower(pieces), pieces)
-        marked = pc.match_substring_regex(pieces, rf"^\x1f?\pL+[{MARKS}]+$")
+        marked = pc.match_substring_regex(pieces, rf"^\x1f?[{LETTERS}]+[{MARKS}]+$")
         heads = pc.if_else(marked, pc.utf8_rtrim(pieces, MARKS_TEXT), pieces)
         d, which = heads.dictionary_encode(), np.flatnonzero(marked.to_numpy(zero_copy_only=False))
         words = d.dictionary.to_pylist()
         if self.spaces:
             words = [w[1:] if w[:1] == "\x1f" else w if w == "\n" else " " + w for w in words]
         some = pa.array(which)
-        tails = pc.replace_substring_regex(pieces.take(some), r"^\x1f?\pL+", "")
+        tails = pc.replace_substring_regex(pieces.take(some), rf"^\x1f?[{LETTERS}]+", "")
         t = tails.dictionary_encode()
         ends = t.dictionary.to_pylist()
         if len(self.runs) > self.max_cached:
