@@ -7,7 +7,7 @@ letters set apart by spaces are joined first. A chunk of plain letters has one p
 own decoding. The features of a word, as written and as restored, are the word and its first 4,
 5 and 6 letters; each weighs what share of the labelled documents that hold it are toxic, as a
 lower confidence bound. A logistic model of the heaviest weights, of how many distinct chunks
-weigh much and of the length turns them into the document's score; in fitting it, a document's
+weigh much, absolutely and by the length, turns them into the document's score; in fitting it, a document's
 own label is taken out of its weights.
 
 The model is fitted on at most MAX_LABELLED labelled rows (those with the smallest hashes of
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return model
 
 
-SUMMARY = 9
+SUMMARY = 8
 
 
 def _summary(own: np.ndarray) -> list[float]:
@@ -190,21 +190,29 @@ def _summary(own: np.ndarray) -> list[float]:
     top = np.sort(own)[::-1][:3] if n else np.array([])
     top = np.concatenate([top, np.full(3 - len(top), FLOOR)])
     many, some, few = (int((own >= w).sum()) for w in (0.5, 0.3, 0.2))
-    return [*top.tolist(), math.log1p(many), math.log1p(some), math.log1p(few), some / (n + 20), few / (n + 20), math.log1p(n)]
+    return [*top.tolist(), math.log1p(many), math.log1p(some), math.log1p(few), some / (n + 20), few / (n + 20)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[list[float], list[float], list[float]]:
-    """(means, scales, coefficients and the constant) by Newton's method."""
+    """(means, scales, coefficients and the constant) by Newton's method; no coefficient is negative, so
+    that more evidence never lowers a score."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    b, penalty = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty, z.T @ (y - p) - penalty @ b)
-        b += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return mean.tolist(), scale.tolist(), b.tolist()
+    full = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    used = np.arange(x.shape[1])
+    while True:
+        z = full[:, [*used, -1]]
+        b, penalty = np.zeros(z.shape[1]), np.diag([ridge] * len(used) + [1e-6])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty, z.T @ (y - p) - penalty @ b)
+            b += step
+            if np.abs(step).max() < 1e-9:
+                break
+        if (b[:-1] >= 0).all():
+            out = np.zeros(x.shape[1])
+            out[used] = b[:-1]
+            return mean.tolist(), scale.tolist(), [*out.tolist(), float(b[-1])]
+        used = used[b[:-1] >= 0]
 
 
 def _runs(offsets: np.ndarray, single: np.ndarray):
