@@ -36,10 +36,12 @@ def main(argv: list[str] | None = None) -> None:
     found = LogStore(spark, a.store).search(parse_time(a.start, now, 0), parse_time(a.end, now, 1 << 62), a.term or " ".join(a.words), a.q or None)
     rows = tail(found.rows, a.n)
     line = formatted(F.col("data"), F.col("timestamp")) if a.parse else F.trim("data")
-    for r in rows.select(line.alias("line")).collect() if a.n else rows.select(line.alias("line")).toLocalIterator():
+    printed = 0
+    for r in rows.select(line.alias("line")).collect() if a.n > 0 else rows.select(line.alias("line")).toLocalIterator():
         print(r.line)
+        printed += 1
     if a.stats:
-        print(json.dumps(found.stats.to_json()))
+        print(json.dumps(found.finished(None if a.n > 0 else printed).to_json()))
 
 
 if __name__ == "__main__":
