@@ -7,9 +7,10 @@
 2. Part sums travel as packed, sorted blobs by hash range; where two or more sets agree in a part,
    they form a block. Documents with equal sets are one class from here on.
 3. Every class of a block is searched against one class of the block, that of most blocks. What
-   links is joined. All that were tested against one class include every pair that shares a block; of
-   them, those still in other components search the rest, by what they differ in from that class, in
-   cells of bounded size that give no more links than it takes to join components.
+   links is joined; bitmaps of parities rule out most that can't be. All that share blocks with one class
+   include every pair that shares a block; of them, those still in other components search the rest, by
+   bitmaps and by what they differ in from that class, in cells of bounded size that give no more links
+   than it takes to join components.
 4. A search takes the inverted lists of the query's shingles over its candidates and needs T
    occurrences: DivideSkip sets the longest lists apart, merges the others in a heap, and probes
    the long ones by binary search for those candidates that can still reach T.
@@ -40,6 +41,7 @@ from logsift.llm.ngram_lm import _save
 from logsift.session import local_path, shared_dir, ship_package
 
 FLUSH = 4_000_000
+BITS = 1024  # of a set's bitmap
 CELL, CELL_BYTES = 256, 4 << 20  # rows that ask, and bytes, in one cell of a search
 
 
@@ -120,6 +122,24 @@ def _digests(offsets: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both[:, 0], both[:, 1]
 
 
+def _bitmaps(offsets: np.ndarray, sets: np.ndarray) -> pa.Array:
+    """BITS parities a row: two sets differ in no fewer elements than their bitmaps in bits."""
+    rows = len(offsets) - 1
+    cell = np.repeat(np.arange(rows), np.diff(offsets)) * BITS + (mix(sets) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(cell, minlength=rows * BITS) & 1
+    data = np.packbits(odd.astype(bool)).tobytes()
+    return pa.array([data[k : k + BITS // 8] for k in range(0, len(data), BITS // 8)], pa.binary())
+
+
+def _may_link(a, b, na, nb, percent: int) -> np.ndarray:
+    """Whether sets with these bitmaps (rows of words) and sizes can be linked."""
+    return np.bitwise_count(a ^ b).sum(-1) <= na + nb - 2 * (-(-percent * (na + nb) // (100 + percent)))
+
+
+def _words(bitmaps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bitmaps), "<u8").reshape(-1, BITS // 64)
+
+
 def _part_sums(offsets: np.ndarray, sets: np.ndarray, percent: int):
     """(key, row) of the parts of all rows, for their own size step and the next."""
     sizes = np.diff(offsets)
@@ -165,7 +185,7 @@ def _stage(width: int, percent: int, shards: int):
                 offsets, sets = shingle_sets(b.column(1), width)
                 hi, lo = _digests(offsets, sets)
                 n, own = np.diff(offsets), uid + np.arange(b.num_rows)
-                yield _rows(kind=pa.array([0] * b.num_rows), uid=pa.array(own), doc_id=b.column(0), n=pa.array(n), hi=pa.array(hi), lo=pa.array(lo), shard=pa.array(own % shards))
+                yield _rows(kind=pa.array([0] * b.num_rows), uid=pa.array(own), doc_id=b.column(0), n=pa.array(n), hi=pa.array(hi), lo=pa.array(lo), shard=pa.array(own % shards), data=_bitmaps(offsets, sets))
                 if len(seen) > 500_000:
                     seen.clear()
                 fresh = np.zeros(b.num_rows, bool)  # a set that this task has cut before adds nothing
@@ -335,13 +355,26 @@ def _search(percent: int):
     return run
 
 
+def _split(percent: int):
+    """Adds whether the bitmaps of a and b allow a link."""
+
+    def run(batches):
+        for t in batches:
+            c = {n: t.column(n).to_pylist() for n in ("ma", "mb")}
+            may = _may_link(_words(c["ma"]), _words(c["mb"]), t.column("na").to_numpy(), t.column("nb").to_numpy(), percent) if t.num_rows else np.array([], bool)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), t.column("nb"), t.column("mb"), pa.array(may)], names=["a", "b", "nb", "mb", "may"])
+
+    return run
+
+
 def _search_apart(percent: int):
-    """One cell of those that were tested against the same class: searches its rows of other
-    components (`asks`) among all of the cell, by what each differs in from that class. Gives
-    links that join components, no more than it takes to join them."""
+    """One cell of those that share blocks with the same class: searches its rows of other
+    components (`asks`) among all of the cell. Where bitmaps allow a link, it is decided by what
+    both differ in from that class, or, where that isn't known, left to a search by sets (not `sure`).
+    Gives links that join components, no more than it takes to join them."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["b", "nb", "comp", "asks", "apart"]).to_pylist(), key=lambda r: (r["b"], not r["asks"]))
+        rows = sorted(table.select(["b", "nb", "mb", "comp", "asks", "apart"]).to_pylist(), key=lambda r: (r["b"], not r["asks"]))
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -349,13 +382,17 @@ def _search_apart(percent: int):
                 top[x] = x = top.get(top[x], top[x])
             return x
 
-        sets = [np.frombuffer(r["apart"], "<u8") for r in rows]
-        left, right = [], []
+        sets = [None if r["apart"] is None else np.frombuffer(r["apart"], "<u8") for r in rows]
+        bitmaps, sizes, comps = _words([r["mb"] for r in rows]), np.array([r["nb"] for r in rows], np.int64), np.array([r["comp"] for r in rows], np.int64)
+        left, right, sure = [], [], []
         for k, r in enumerate(rows):
             if not r["asks"]:
                 continue
+            near = np.flatnonzero((sizes * 100 >= r["nb"] * percent) & (r["nb"] * 100 >= sizes * percent) & (comps != r["comp"]))
+            near = near[_may_link(bitmaps[near], bitmaps[k], sizes[near], r["nb"], percent)].tolist()
             own = find(r["comp"])
-            some = [j for j, x in enumerate(rows) if find(x["comp"]) != own and x["nb"] * 100 >= r["nb"] * percent and r["nb"] * 100 >= x["nb"] * percent]
+            near = [j for j in near if find(rows[j]["comp"]) != own]
+            some = [j for j in near if sets[j] is not None and sets[k] is not None]
             need = [required(r["nb"], rows[j]["nb"], percent) + (len(sets[k]) + len(sets[j]) - r["nb"] - rows[j]["nb"]) // 2 for j in some]
             for i in divide_skip(sets[k], [sets[j] for j in some], need) if some else ():
                 x, y = find(r["comp"]), find(rows[some[i]]["comp"])
@@ -363,7 +400,13 @@ def _search_apart(percent: int):
                     top[max(x, y)] = min(x, y)
                     left.append(r["b"])
                     right.append(rows[some[i]]["b"])
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+                    sure.append(True)
+            for j in near:
+                if (sets[j] is None or sets[k] is None) and find(rows[j]["comp"]) != find(r["comp"]):
+                    left.append(min(r["b"], rows[j]["b"]))
+                    right.append(max(r["b"], rows[j]["b"]))
+                    sure.append(False)
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "sure": pa.array(sure, pa.bool_())})
 
     return run
 
@@ -432,21 +475,26 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     dealt = cut.repartition(shards, "shard").sortWithinPartitions("kind", "shard")
     dealt.mapInArrow(_blocks, STAGED).write.partitionBy("kind").parquet(staged)
     read = spark.read.schema(STAGED).parquet(staged)
-    rows = read.where("kind = 0").select("uid", "doc_id", "n", "hi", "lo")
-    classes = _kept(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.first("n").alias("n")), "join-classes")
+    rows = read.where("kind = 0").select("uid", "doc_id", "n", "hi", "lo", F.col("data").alias("bitmap"))
+    classes = _kept(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.first("n").alias("n"), F.min("bitmap").alias("bitmap")), "join-classes")
     # the row of most blocks is the likeliest to be what the others of a block were made from
     blocks_of = LongFile.write(read.where("kind = 2").groupBy("uid").agg(F.sum("n").alias("value")).withColumnRenamed("uid", "key"), shards)
     near = read.where("kind = 1").select("data").mapInArrow(_centres(blocks_of), "a long, b long").distinct()
     node_of = rows.where("n > 0").join(classes.select("hi", "lo", "node"), ["hi", "lo"]).select("uid", "node")
     stars = near.join(node_of.select(F.col("uid").alias("a"), F.col("node").alias("x")), "a").join(node_of.select(F.col("uid").alias("b"), F.col("node").alias("z")), "b")
     stars = _kept(stars.where("x <> z").select(F.col("x").alias("a"), F.col("z").alias("b")).distinct(), "join-pairs")
-    tested = _tested(stars, classes.select("hi", "lo", "node", "doc_id"), docs, width, percent)
+    identity = classes.select("hi", "lo", "node", "doc_id")
+    maps = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}"))
+    judged = stars.join(maps("a"), "a").join(maps("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
+    judged = _kept(judged.mapInArrow(_split(percent), "a long, b long, nb long, mb binary, may boolean"), "join-judged")
+    tested = _tested(judged.where("may").select("a", "b"), identity, docs, width, percent)
     links = tested.where("linked").select("a", "b")
     comps = components(links)
     comp_of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-    at = tested.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left").withColumns({"home": F.coalesce("comp_a", "a"), "comp": F.coalesce("comp_b", "b")})
-    at = _kept(at.select("a", "b", "nb", "apart", "comp", (F.col("comp") != F.col("home")).alias("asks")), "join-mixed")
-    size = F.length("apart") + 64
+    at = judged.join(tested.select("a", "b", "apart"), ["a", "b"], "left").join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left")
+    at = at.withColumns({"home": F.coalesce("comp_a", "a"), "comp": F.coalesce("comp_b", "b")})
+    at = _kept(at.select("a", "b", "nb", "mb", "apart", "comp", (F.col("comp") != F.col("home")).alias("asks")), "join-mixed")
+    size = F.coalesce(F.length("apart"), F.lit(0)) + BITS // 8 + 64
     cells = at.groupBy("a").agg(
         F.ceil(F.greatest(F.count_if("asks") / CELL, F.sum(F.when(F.col("asks"), size).otherwise(0)) / CELL_BYTES)).cast("int").alias("asking"),
         F.ceil(F.greatest(F.count("*") / (4 * CELL), F.sum(size) / CELL_BYTES)).cast("int").alias("asked"),
@@ -454,10 +502,12 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ).where("asking > 0 and all > 1")
     placed = at.join(cells, "a")
     i, j = F.pmod(F.hash("b"), F.col("asking")), F.pmod(F.hash("b"), F.col("asked"))
-    ask = placed.where("asks").select("a", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), "b", "nb", "comp", "asks", "apart")
-    told = placed.select("a", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), j.alias("j"), "b", "nb", "comp", F.lit(False).alias("asks"), "apart")
-    more = ask.unionByName(told).groupBy("a", "i", "j").applyInArrow(_search_apart(percent), "a long, b long")
-    comps = _kept(components(_kept(links.union(more), "join-links")), "join-components")
+    ask = placed.where("asks").select("a", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), "b", "nb", "mb", "comp", "asks", "apart")
+    told = placed.select("a", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), j.alias("j"), "b", "nb", "mb", "comp", F.lit(False).alias("asks"), "apart")
+    more = ask.unionByName(told).groupBy("a", "i", "j").applyInArrow(_search_apart(percent), "a long, b long, sure boolean")
+    more = _kept(more.distinct(), "join-found")
+    last = _tested(more.where("not sure").select("a", "b"), identity, docs, width, percent).where("linked").select("a", "b")
+    comps = _kept(components(_kept(links.union(more.where("sure").select("a", "b")).union(last), "join-links")), "join-components")
     of_class = classes.join(comps, "node", "left").select("hi", "lo", F.coalesce("comp", "node").alias("comp"))
     joined = _kept(rows.where("n > 0").join(of_class, ["hi", "lo"]).select("uid", "doc_id", "n", "comp"), "join-rows")
     least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("uid").alias("first_uid"))
