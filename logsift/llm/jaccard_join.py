@@ -41,7 +41,7 @@ from logsift.llm.ngram_lm import _save
 from logsift.session import local_path, shared_dir, ship_package
 
 FLUSH = 4_000_000
-BITS = 1024  # of a set's bitmap
+LEAST_BITS = 10  # a set's bitmap has 2^10 bits at least
 CELL, CELL_BYTES = 256, 4 << 20  # rows that ask, and bytes, in one cell of a search
 
 
@@ -123,21 +123,58 @@ def _digests(offsets: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _bitmaps(offsets: np.ndarray, sets: np.ndarray) -> pa.Array:
-    """BITS parities a row: two sets differ in no fewer elements than their bitmaps in bits."""
-    rows = len(offsets) - 1
-    cell = np.repeat(np.arange(rows), np.diff(offsets)) * BITS + (mix(sets) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    odd = np.bincount(cell, minlength=rows * BITS) & 1
-    data = np.packbits(odd.astype(bool)).tobytes()
-    return pa.array([data[k : k + BITS // 8] for k in range(0, len(data), BITS // 8)], pa.binary())
-
-
-def _may_link(a, b, na, nb, percent: int) -> np.ndarray:
-    """Whether sets with these bitmaps (rows of words) and sizes can be linked."""
-    return np.bitwise_count(a ^ b).sum(-1) <= na + nb - 2 * (-(-percent * (na + nb) // (100 + percent)))
-
-
-def _words(bitmaps: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bitmaps), "<u8").reshape(-1, BITS // 64)
+    """Parities of a row's hashes in at least as many bits as it has elements, a power of two: two
+    sets differ in no fewer elements than their bitmaps in bits."""
+    h, out = mix(sets), []
+    for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        k = max(LEAST_BITS, (max(1, z - a) - 1).bit_length())
+        odd = np.bincount((h[a:z] >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _folded(bitmaps: np.ndarray) -> np.ndarray:
+    """Rows of words at half the bits: neighbouring bits are added up."""
+    bits = np.unpackbits(bitmaps.view(np.uint8), axis=-1)
+    return np.packbits(bits[..., 0::2] ^ bits[..., 1::2], axis=-1).view("<u8")
+
+
+def _bound(na, nb, percent: int):
+    """In how many elements linked sets of these sizes differ at most."""
+    return na + nb - 2 * (-(-percent * (na + nb) // (100 + percent)))
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ; the larger is folded."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    while len(a) != len(b):
+        a, b = (_folded(a), b) if len(a) > len(b) else (a, _folded(b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+class _Bitmaps:
+    """Bitmaps of a cell, to be compared with one of them at a time."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        self.bitmaps, sizes = bitmaps, np.fromiter(map(len, bitmaps), np.int64, len(bitmaps))
+        self.groups = {}
+        for n in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == n)
+            rows = np.frombuffer(b"".join([bitmaps[i] for i in mine]), "<u8").reshape(len(mine), -1)
+            self.groups[n] = (mine, rows, _folded(rows) if n > 8 << LEAST_BITS - 6 else rows)
+
+    def differ(self, k: int) -> np.ndarray:
+        """Lower bounds of what each differs in from the k-th; where sizes are too far apart to be linked, many."""
+        own = np.frombuffer(self.bitmaps[k], "<u8")
+        out, n = np.full(len(self.bitmaps), 1 << 40, np.int64), len(self.bitmaps[k])
+        for size, (mine, rows, half) in self.groups.items():
+            if size == n:
+                out[mine] = np.bitwise_count(rows ^ own).sum(-1)
+            elif size == 2 * n:
+                out[mine] = np.bitwise_count(half ^ own).sum(-1)
+            elif 2 * size == n:
+                out[mine] = np.bitwise_count(rows ^ _folded(own)).sum(-1)
+        return out
 
 
 def _part_sums(offsets: np.ndarray, sets: np.ndarray, percent: int):
@@ -360,8 +397,8 @@ def _split(percent: int):
 
     def run(batches):
         for t in batches:
-            c = {n: t.column(n).to_pylist() for n in ("ma", "mb")}
-            may = _may_link(_words(c["ma"]), _words(c["mb"]), t.column("na").to_numpy(), t.column("nb").to_numpy(), percent) if t.num_rows else np.array([], bool)
+            most = _bound(t.column("na").to_numpy(), t.column("nb").to_numpy(), percent)
+            may = np.fromiter(map(_apart, t.column("ma").to_pylist(), t.column("mb").to_pylist()), np.int64, t.num_rows) <= most
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), t.column("nb"), t.column("mb"), pa.array(may)], names=["a", "b", "nb", "mb", "may"])
 
     return run
@@ -383,13 +420,13 @@ def _search_apart(percent: int):
             return x
 
         sets = [None if r["apart"] is None else np.frombuffer(r["apart"], "<u8") for r in rows]
-        bitmaps, sizes, comps = _words([r["mb"] for r in rows]), np.array([r["nb"] for r in rows], np.int64), np.array([r["comp"] for r in rows], np.int64)
+        bitmaps, sizes, comps = _Bitmaps([r["mb"] for r in rows]), np.array([r["nb"] for r in rows], np.int64), np.array([r["comp"] for r in rows], np.int64)
         left, right, sure = [], [], []
         for k, r in enumerate(rows):
             if not r["asks"]:
                 continue
-            near = np.flatnonzero((sizes * 100 >= r["nb"] * percent) & (r["nb"] * 100 >= sizes * percent) & (comps != r["comp"]))
-            near = near[_may_link(bitmaps[near], bitmaps[k], sizes[near], r["nb"], percent)].tolist()
+            near = (sizes * 100 >= r["nb"] * percent) & (r["nb"] * 100 >= sizes * percent) & (comps != r["comp"])
+            near = np.flatnonzero(near & (bitmaps.differ(k) <= _bound(sizes, r["nb"], percent))).tolist() if near.any() else []
             own = find(r["comp"])
             near = [j for j in near if find(rows[j]["comp"]) != own]
             some = [j for j in near if sets[j] is not None and sets[k] is not None]
@@ -494,7 +531,7 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     at = judged.join(tested.select("a", "b", "apart"), ["a", "b"], "left").join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left")
     at = at.withColumns({"home": F.coalesce("comp_a", "a"), "comp": F.coalesce("comp_b", "b")})
     at = _kept(at.select("a", "b", "nb", "mb", "apart", "comp", (F.col("comp") != F.col("home")).alias("asks")), "join-mixed")
-    size = F.coalesce(F.length("apart"), F.lit(0)) + BITS // 8 + 64
+    size = F.coalesce(F.length("apart"), F.lit(0)) + F.length("mb") + 64
     cells = at.groupBy("a").agg(
         F.ceil(F.greatest(F.count_if("asks") / CELL, F.sum(F.when(F.col("asks"), size).otherwise(0)) / CELL_BYTES)).cast("int").alias("asking"),
         F.ceil(F.greatest(F.count("*") / (4 * CELL), F.sum(size) / CELL_BYTES)).cast("int").alias("asked"),
