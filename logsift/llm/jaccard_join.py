@@ -315,6 +315,46 @@ class LongFile:
         return known, values
 
 
+class BitmapFile:
+    """Sizes and bitmaps of classes by node, in shards in the shared folder; mapped by workers."""
+
+    def __init__(self, path: str, shards: int):
+        self.path, self.shards = path, shards
+
+    @classmethod
+    def write(cls, classes: DataFrame, shards: int) -> BitmapFile:
+        path = local_path(shared_dir(classes.sparkSession, "bitmaps"))
+
+        def save(batches):
+            held: dict[int, list] = {}
+            for b in batches:
+                for node, n, bitmap, shard in zip(*(b.column(c).to_pylist() for c in ("node", "n", "bitmap", "shard"))):
+                    held.setdefault(shard, []).append((node, n, bitmap))
+            for p, rows in held.items():
+                rows.sort()
+                ends = np.cumsum([0, *(len(r[2]) for r in rows)])
+                _save(f"{path}/{p}.index.npy", np.stack([np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), ends[:-1], ends[1:]]))
+                _save(f"{path}/{p}.bits.npy", np.frombuffer(b"".join(r[2] for r in rows), np.uint8))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([p], pa.int32())})
+
+        rows = classes.select("node", "n", "bitmap", F.pmod("node", F.lit(shards)).cast("int").alias("shard"))
+        rows.repartition(shards, "shard").mapInArrow(save, "shard int").count()
+        return cls(path, shards)
+
+    def find(self, nodes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """(sizes, bitmaps) of known nodes."""
+        sizes, out = np.zeros(len(nodes), np.int64), [b""] * len(nodes)
+        shard = nodes % self.shards
+        for p in np.unique(shard).tolist():
+            index, bits = (np.load(f"{self.path}/{p}.{x}.npy", mmap_mode="r") for x in ("index", "bits"))
+            mine = np.flatnonzero(shard == p)
+            at = np.searchsorted(index[0], nodes[mine])
+            sizes[mine] = index[1][at]
+            for i, a, z in zip(mine.tolist(), index[2][at].tolist(), index[3][at].tolist()):
+                out[i] = bits[a:z].tobytes()
+        return sizes, out
+
+
 def _centres(blocks_of: LongFile):
     """(a, b): each row of a block with that row of it which is in most blocks of all."""
 
@@ -392,26 +432,30 @@ def _search(percent: int):
     return run
 
 
-def _split(percent: int):
-    """Adds whether the bitmaps of a and b allow a link."""
+def _split(percent: int, maps: BitmapFile):
+    """Pairs (a, b) with the size of b and whether the bitmaps of both allow a link."""
 
     def run(batches):
         for t in batches:
-            most = _bound(t.column("na").to_numpy(), t.column("nb").to_numpy(), percent)
-            may = np.fromiter(map(_apart, t.column("ma").to_pylist(), t.column("mb").to_pylist()), np.int64, t.num_rows) <= most
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), t.column("nb"), t.column("mb"), pa.array(may)], names=["a", "b", "nb", "mb", "may"])
+            a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+            nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+            sizes, bitmaps = maps.find(nodes)
+            x, y = back[: len(a)], back[len(a) :]
+            apart = np.fromiter((_apart(bitmaps[i], bitmaps[j]) for i, j in zip(x.tolist(), y.tolist())), np.int64, len(a))
+            may = apart <= _bound(sizes[x], sizes[y], percent)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(sizes[y]), pa.array(may)], names=["a", "b", "nb", "may"])
 
     return run
 
 
-def _search_apart(percent: int):
+def _search_apart(percent: int, maps: BitmapFile):
     """One cell of those that share blocks with the same class: searches its rows of other
     components (`asks`) among all of the cell. Where bitmaps allow a link, it is decided by what
     both differ in from that class, or, where that isn't known, left to a search by sets (not `sure`).
     Gives links that join components, no more than it takes to join them."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["b", "nb", "mb", "comp", "asks", "apart"]).to_pylist(), key=lambda r: (r["b"], not r["asks"]))
+        rows = sorted(table.select(["b", "nb", "comp", "asks", "apart"]).to_pylist(), key=lambda r: (r["b"], not r["asks"]))
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -420,7 +464,7 @@ def _search_apart(percent: int):
             return x
 
         sets = [None if r["apart"] is None else np.frombuffer(r["apart"], "<u8") for r in rows]
-        bitmaps, sizes, comps = _Bitmaps([r["mb"] for r in rows]), np.array([r["nb"] for r in rows], np.int64), np.array([r["comp"] for r in rows], np.int64)
+        bitmaps, sizes, comps = _Bitmaps(maps.find(np.array([r["b"] for r in rows], np.int64))[1]), np.array([r["nb"] for r in rows], np.int64), np.array([r["comp"] for r in rows], np.int64)
         left, right, sure = [], [], []
         for k, r in enumerate(rows):
             if not r["asks"]:
@@ -521,17 +565,16 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     stars = near.join(node_of.select(F.col("uid").alias("a"), F.col("node").alias("x")), "a").join(node_of.select(F.col("uid").alias("b"), F.col("node").alias("z")), "b")
     stars = _kept(stars.where("x <> z").select(F.col("x").alias("a"), F.col("z").alias("b")).distinct(), "join-pairs")
     identity = classes.select("hi", "lo", "node", "doc_id")
-    maps = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}"))
-    judged = stars.join(maps("a"), "a").join(maps("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
-    judged = _kept(judged.mapInArrow(_split(percent), "a long, b long, nb long, mb binary, may boolean"), "join-judged")
+    maps = BitmapFile.write(classes, shards)
+    judged = _kept(stars.mapInArrow(_split(percent, maps), "a long, b long, nb long, may boolean"), "join-judged")
     tested = _tested(judged.where("may").select("a", "b"), identity, docs, width, percent)
     links = tested.where("linked").select("a", "b")
     comps = components(links)
     comp_of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
     at = judged.join(tested.select("a", "b", "apart"), ["a", "b"], "left").join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left")
     at = at.withColumns({"home": F.coalesce("comp_a", "a"), "comp": F.coalesce("comp_b", "b")})
-    at = _kept(at.select("a", "b", "nb", "mb", "apart", "comp", (F.col("comp") != F.col("home")).alias("asks")), "join-mixed")
-    size = F.coalesce(F.length("apart"), F.lit(0)) + F.length("mb") + 64
+    at = _kept(at.select("a", "b", "nb", "apart", "comp", (F.col("comp") != F.col("home")).alias("asks")), "join-mixed")
+    size = F.coalesce(F.length("apart"), F.lit(0)) + F.lit(320)
     cells = at.groupBy("a").agg(
         F.ceil(F.greatest(F.count_if("asks") / CELL, F.sum(F.when(F.col("asks"), size).otherwise(0)) / CELL_BYTES)).cast("int").alias("asking"),
         F.ceil(F.greatest(F.count("*") / (4 * CELL), F.sum(size) / CELL_BYTES)).cast("int").alias("asked"),
@@ -539,9 +582,9 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ).where("asking > 0 and all > 1")
     placed = at.join(cells, "a")
     i, j = F.pmod(F.hash("b"), F.col("asking")), F.pmod(F.hash("b"), F.col("asked"))
-    ask = placed.where("asks").select("a", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), "b", "nb", "mb", "comp", "asks", "apart")
-    told = placed.select("a", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), j.alias("j"), "b", "nb", "mb", "comp", F.lit(False).alias("asks"), "apart")
-    more = ask.unionByName(told).groupBy("a", "i", "j").applyInArrow(_search_apart(percent), "a long, b long, sure boolean")
+    ask = placed.where("asks").select("a", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), "b", "nb", "comp", "asks", "apart")
+    told = placed.select("a", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), j.alias("j"), "b", "nb", "comp", F.lit(False).alias("asks"), "apart")
+    more = ask.unionByName(told).groupBy("a", "i", "j").applyInArrow(_search_apart(percent, maps), "a long, b long, sure boolean")
     more = _kept(more.distinct(), "join-found")
     last = _tested(more.where("not sure").select("a", "b"), identity, docs, width, percent).where("linked").select("a", "b")
     comps = _kept(components(_kept(links.union(more.where("sure").select("a", "b")).union(last), "join-links")), "join-components")
