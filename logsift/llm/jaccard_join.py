@@ -40,7 +40,7 @@ from logsift.llm.words import hashes, mix, part_of, split_words
 from logsift.llm.ngram_lm import _save
 from logsift.session import local_path, shared_dir, ship_package
 
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 LEAST_BITS = 10  # a set's bitmap has 2^10 bits at least
 CELL, CELL_BYTES = 256, 4 << 20  # rows that ask, and bytes, in one cell of a search
 

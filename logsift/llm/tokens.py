@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+pa.set_memory_pool(pa.system_memory_pool())  # in workers, which import this: memory goes back between batches
+
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -66,7 +68,6 @@ class PieceEncoder:
 
     def __init__(self, path: str, spaces: bool, max_cached: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
