@@ -2,10 +2,12 @@
 
 The page is read in one pass into blocks of text, each in the element that holds it. Every
 paragraph passes points for its length and its commas to its container and less to the
-containers around; a container's points are discounted by its share of link text, and the best
-one is kept with those siblings whose own score comes near. Menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and hidden parts count for nothing and
-are left out wherever they stand.
+containers around; a container's points are discounted by its share of link text. The best one
+only says where the article is: the whole <article> or <main> around it is kept, and on the way up
+to the page all that stands beside it, as long as nothing there is a menu or left out; where
+something is, siblings that aren't mostly links and hold a paragraph. No bar grows with the page.
+Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and hidden parts
+count for nothing and are left out wherever they stand.
 
 Nulls: null or empty html, and a page without text, give an empty text; null page_id and url are
 kept. Unclosed, crossed and cut-off tags never fail. Repeated pages get a row each.
@@ -40,11 +42,14 @@ BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 2.0, "td": 1.0, "
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "chars", "links", "out", "kids", "words")
+    __slots__ = ("tag", "parent", "score", "chars", "links", "out", "kids", "prose")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
-        self.score, self.chars, self.links, self.kids = 0.0, 0, 0, []
+        self.score, self.chars, self.links, self.kids, self.prose = 0.0, 0, 0, [], False
+
+    def linked(self) -> bool:
+        return self.links * 2 >= self.chars > 0
 
 
 def _leaves_out(tag: str, attributes: str, parent: Node) -> bool:
@@ -70,8 +75,8 @@ def _leaves_out(tag: str, attributes: str, parent: Node) -> bool:
     return False
 
 
-def _parse(html: str) -> tuple[list[tuple[Node, str, str]], list[Node]]:
-    """Blocks in page order, as (container, tag of the paragraph, text), and all containers."""
+def _parse(html: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
+    """Blocks in page order, as (element, letters in links, text), and all elements."""
     root = Node("html", None, False)
     nodes, stack, blocks = [root], [root], []
     text: list[str] = []
@@ -82,7 +87,7 @@ def _parse(html: str) -> tuple[list[tuple[Node, str, str]], list[Node]]:
         if text:
             if words := "".join(text).split():
                 out, at = " ".join(words), stack[-1]
-                blocks.append((at, at.tag, out))
+                blocks.append((at, min(links, len(out)), out))
                 at.chars += len(out)
                 at.links += min(links, len(out))
             text.clear()
@@ -176,7 +181,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     blocks, nodes = _parse(html)
-    kept = [(n, t, x) for n, t, x in blocks if not n.out and (t in HEADINGS or not _article_header(n))]
+    kept = [(n, links, x) for n, links, x in blocks if not n.out and (n.tag in HEADINGS or not _article_header(n))]
     if not kept:
         return ""
     for n in reversed(nodes):  # children come after their parents
@@ -184,14 +189,18 @@ def main_text(html: str | None) -> str:
             n.parent.chars += n.chars
             n.parent.links += n.links
     touched = {}
-    for n, tag, text in kept:
+    for n, links, text in kept:
         points = min(len(text) / 100, 3) + text.count(",") + (1 if len(text) >= 25 else 0)
-        at = n.parent if tag in PARAGRAPH and n.parent else n
+        at = n.parent if n.tag in PARAGRAPH and n.parent else n
         share = 1.0
         while at and share >= 0.125:
             touched[id(at)] = at
             at.score += points * share
             at, share = at.parent, share / 2
+        if links * 2 < len(text) and (n.tag in PARAGRAPH or len(text) >= 25):
+            at = n
+            while at and not at.prose:
+                at.prose, at = True, at.parent
     lists = ("ul", "ol", "dl", "table", "tbody", "thead", "tr")
     best, top = None, -1.0
     for n in touched.values():
@@ -200,26 +209,37 @@ def main_text(html: str | None) -> str:
         score = (n.score + BONUS.get(n.tag, 0.0)) * (1 - n.links / max(1, n.chars))
         if score > top:
             best, top = n, score
-    if best is None:
-        best = nodes[0]
-    chosen = {id(best)}
-    if best.parent and best.tag not in ("article", "main"):
-        for s in best.parent.kids:
-            if s is not best and not s.out:
-                score = (s.score + BONUS.get(s.tag, 0.0)) * (1 - s.links / max(1, s.chars))
-                if score >= max(10.0, 0.2 * top) or s.tag in PARAGRAPH and s.tag != "li" and s.chars and s.links * 2 < s.chars:
-                    chosen.add(id(s))
-    elif best.parent:
-        chosen |= {id(s) for s in best.parent.kids if s.tag == best.tag and not s.out and s.score * (1 - s.links / max(1, s.chars)) >= 0.2 * top}
-
-    def inside(n: Node) -> bool:
+    whole, own = _article(best or nodes[0])
+
+    def inside(n: Node, links: int, text: str) -> bool:
+        if id(n) in own:
+            return links * 2 < len(text)
         while n:
-            if id(n) in chosen:
+            if id(n) in whole:
                 return True
             n = n.parent
         return False
 
-    return "\n".join(text for n, _, text in kept if inside(n))
+    return "\n".join(text for n, links, text in kept if inside(n, links, text))
+
+
+def _article(best: Node) -> tuple[set[int], set[int]]:
+    """(elements kept whole, elements around them of which the text of their own is kept unless it is links)."""
+    around, at = [], best
+    while at:
+        around.append(at)
+        at = at.parent
+    at = next((n for tag in ("article", "main") for n in reversed(around) if n.tag == tag), best)
+    whole, own = {id(at)}, set()
+    while at.parent:
+        others = [s for s in at.parent.kids if s is not at]
+        if any(s.out or s.linked() for s in others):
+            whole |= {id(s) for s in others if s.prose and not s.linked()}
+            own.add(id(at.parent))
+        else:
+            whole.add(id(at.parent))
+        at = at.parent
+    return whole, own
 
 
 def _extract(batches):

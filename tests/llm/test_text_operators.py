@@ -89,6 +89,22 @@ def test_html():
     assert main_text("<p>a</p>" * 5000).count("\n") == 4999
 
 
+def test_html_keeps_long_articles_whole():
+    words = lambda k: f"Paragraph {k}, with commas, and, so, on, and enough words to count as a full one."
+    for n in (5, 30, 300):
+        body = [words(k) for k in range(n)]
+        ps = "".join(f"<p>{p}</p>" for p in body)
+        around = "<body><nav><a href=/>Home</a></nav>{}<footer>me</footer></body>"
+        two = "<p>One, short section.</p><p>Of two.</p>"
+        assert main_text(around.format(f"<article><header><h1>T</h1></header><div class=entry-content>{ps}</div></article>")).split("\n") == ["T", *body]
+        assert main_text(around.format(f"<article><section>{two}</section><section>{ps}</section><div><section>{two}</section></div></article>")).split("\n") == ["One, short section.", "Of two.", *body, "One, short section.", "Of two."]
+        assert main_text(around.format(f"<main><div><h1>T</h1></div><div><div>{ps}</div></div><div>End</div></main>")).split("\n") == ["T", *body, "End"]
+        assert main_text(around.format(f"<div><div><h1>T</h1></div><div><div>{two}</div><div>{ps}</div></div><div>End</div></div>")).split("\n") == ["T", "One, short section.", "Of two.", *body, "End"]
+        links = "<ul><li><a href=1>Some other story</a><li><a href=2>And another</a></ul>"
+        assert main_text(around.format(f"<div><div><h1>T</h1></div><div>{ps}</div><div>{links}</div>Loose text</div>")).split("\n") == ["T", *body, "Loose text"]
+        assert main_text(around.format(f"<div>{links}</div><article>{ps}</article><div>{links}</div>")).split("\n") == body
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 9), (1, "u", PAGE, 9), (None, None, None, 1)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.n_chars, r.page_id or 0) for r in extract(pages).collect()) == [(0, 0), (len(main_text(PAGE)), 1), (len(main_text(PAGE)), 1)]
