@@ -1,10 +1,11 @@
 """Toxicity by noisy-channel deobfuscation and words learned from labels.
 
-A chunk that mixes letters with digits, signs or separators, or that repeats a letter, becomes a
-lattice: every character may stand for itself, for the letters it looks like, or be left out.
-Viterbi decoding under a character trigram model picks the likeliest plain spelling; single
-letters set apart by spaces are joined first. A chunk of plain letters has one path and is its
-own decoding. The features of a word, as written and as restored, are the word and its first 4,
+A chunk with a digit, sign or separator that looks like a letter or stands between letters, or with
+a letter doubled, becomes a lattice: every character may stand for itself, for the letters it looks
+like, or be left out. Viterbi decoding under a character trigram model picks the likeliest plain
+spelling; runs of single letters set apart by spaces are joined first. Any other neighbouring chunks
+are joined where one way through their lattices is a heavy word as a whole, and so is a chunk with doubled
+letters by itself. A chunk of plain letters, none doubled, has one path and is its own decoding. The features of a word, as written and as restored, are the word and its first 4,
 5 and 6 letters; each weighs what share of the labelled documents that hold it are toxic, as a
 lower confidence bound. A logistic model of the heaviest weights, of how many distinct chunks
 weigh much, absolutely and by the length, turns them into the document's score; in fitting it, a document's
@@ -34,10 +35,13 @@ from logsift.session import ship_package
 
 MAX_LABELLED, MAX_FEATURES, MAX_TRIGRAMS = 30_000, 50_000, 200_000
 LEAST_TOXIC, CONFIDENCE, FLOOR, THRESHOLD, SPACED = 5, 3.3, 0.001, 0.3, 4
+HEAVY = 0.2  # the least weight that a summary counts
 # Letters that digits and signs stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i"}
 LETTERS = re.compile(r"[^\W\d_]+")
-REPEAT = re.compile(r"(.)\1\1", re.DOTALL)
+REPEAT = re.compile(r"(.)\1", re.DOTALL)
+DOUBLED = re.compile(r"([^\W\d_])\1")
+LOOK = re.compile(f"[{re.escape(''.join(LOOKS))}]")
 EDGE = ".,;:?\"'()[]{}…»«“”‘’`*_-~"
 
 
@@ -69,6 +73,8 @@ class CharacterModel:
     def decode(self, chunk: str, swap: float = 1.0, drop: float = 0.7, keep: float = 12.0) -> str:
         """The likeliest plain spelling of a chunk: Viterbi over its lattice of characters, with
         the last two letters as the state."""
+        if not LOOK.search(chunk) and not DOUBLED.search(chunk):  # one way: all that are no letters are left out
+            return "".join(filter(str.isalpha, chunk))
         best = {"^^": (0.0, "")}
         for i, ch in enumerate(chunk):
             ways = []
@@ -79,6 +85,10 @@ class CharacterModel:
             else:
                 ways += [(x, swap) for x in LOOKS.get(ch, "")]
                 ways.append(("", drop if ch not in LOOKS else keep))
+            if len(ways) == len(best) == 1:  # a letter as it is
+                (state, (cost, out)), (x, more) = *best.items(), ways[0]
+                best = {state[1] + x: (cost + more + self.cost(state + x), out + x)} if x else {state: (cost + more, out)}
+                continue
             step: dict[str, tuple[float, str]] = {}
             for state, (cost, out) in best.items():
                 for x, more in ways:
@@ -90,14 +100,18 @@ class CharacterModel:
         return min((c + self.cost(s + "$"), out) for s, (c, out) in best.items())[1]
 
 
+def is_plain(chunk: str) -> bool:
+    return chunk.isalpha() and not REPEAT.search(chunk)
+
+
 def spellings(chunk: str, model: CharacterModel | None) -> set[str]:
     """The words of a lower-cased chunk, as written and as restored."""
-    if chunk.isalpha() and not REPEAT.search(chunk):
+    if is_plain(chunk):
         return {chunk}
     words = set(LETTERS.findall(chunk))
     core = chunk.strip(EDGE)
     core = core.rstrip("!") or core
-    if model and words and (not core.isalpha() or REPEAT.search(core)):
+    if model and (words or LOOK.search(core)) and (not core.isalpha() or REPEAT.search(core)):
         words.add(model.decode(core))
     return words
 
@@ -233,7 +247,10 @@ class _Weigher:
     """Weights of chunks; what was decoded is remembered, within a bound."""
 
     def __init__(self, weights: dict[str, float], characters: CharacterModel):
-        self.weights, self.characters, self.decoded = weights, characters, {}
+        self.weights, self.characters, self.decoded, self.spelled = weights, characters, {}, {}
+        self.heavy = {k: w for k, w in weights.items() if w >= HEAVY and len(k) >= 3 and k.isalpha()}
+        self.prefixes = {k[:i] for k in self.heavy for i in range(1, len(k) + 1)}
+        self.inner = {k[i:j] for k in self.heavy for i in range(len(k)) for j in range(i + 1, len(k) + 1)}
 
     def word(self, word: str) -> float:
         get = self.weights.get
@@ -242,14 +259,65 @@ class _Weigher:
         return max(get(word, FLOOR), get(word[:4] + "*", FLOOR), get(word[:5] + "*", FLOOR), get(word[:6] + "*", FLOOR))
 
     def chunk(self, chunk: str) -> float:
-        if chunk.isalpha() and not REPEAT.search(chunk):
-            return self.word(chunk)
+        """The weight of a chunk that isn't plain."""
         if chunk not in self.decoded:
             if len(self.decoded) > 200_000:
                 self.decoded.clear()
-            self.decoded[chunk] = max(map(self.word, spellings(chunk, self.characters)), default=FLOOR)
+            self.decoded[chunk] = self._chunk(chunk)
         return self.decoded[chunk]
 
+    def _chunk(self, chunk: str) -> float:
+        if chunk.isalpha():
+            a = REPEAT.search(chunk).start()
+            other = chunk[:a] + chunk[a + 1 :]
+            if not REPEAT.search(other):  # two ways in all: decoding is of use only if the other weighs more
+                weight, more = self.word(chunk), self.word(other)
+                if more <= weight or self.heavy.get(other) == more:
+                    return max(weight, more)
+        whole = [self.heavy[x] for x in self.parts(chunk) if x in self.heavy]
+        return max([*map(self.word, spellings(chunk, self.characters)), *whole], default=FLOOR)
+
+    def parts(self, chunk: str) -> tuple[str, ...]:
+        """The parts of heavy words that ways through the lattice of a chunk that isn't plain spell."""
+        start = chunk[:3]
+        if start not in self.inner and len(start) == 3 and is_plain(start):
+            return ()
+        if chunk not in self.spelled:
+            if len(self.spelled) > 200_000:
+                self.spelled.clear()
+            core, ways = chunk.strip(EDGE), {""}
+            for i, ch in enumerate(core):
+                letters = ch if ch.isalpha() else LOOKS.get(ch, "")
+                stays = not letters or i and core[i - 1] == ch and ch.isalpha()
+                ways = {y for x in ways for y in ((x,) if stays else ()) + tuple(x + c for c in letters) if not y or y in self.inner}
+                if not ways:
+                    break
+            self.spelled[chunk] = tuple(sorted(ways - {""}))
+        return self.spelled[chunk]
+
+    def joined(self, offsets: np.ndarray, codes: np.ndarray, words: list[str], plain: list[bool]) -> dict[int, dict[str, float]]:
+        """By row the heavy words that neighbouring chunks spell together, from the start of one to the end of another."""
+        out: dict[int, dict[str, float]] = {}
+        if len(codes) < 2 or not self.heavy:
+            return out
+        parts = {c: p for c, (w, known) in enumerate(zip(words, plain)) if (p := ((w,) if w in self.inner else ()) if known else self.parts(w))}
+        head, more = np.zeros(len(words), bool), np.zeros(len(words), bool)
+        more[list(parts)] = True
+        head[[c for c, p in parts.items() if any(x in self.prefixes for x in p)]] = True
+        last = np.zeros(len(codes) + 1, bool)
+        last[offsets] = True
+        at = np.flatnonzero(head[codes[:-1]] & more[codes[1:]] & ~last[1:-1])
+        pair, which = np.unique(codes[at] * len(words) + codes[at + 1], return_inverse=True)
+        fits = np.fromiter((any(x + y in self.prefixes for x in parts[p // len(words)] for y in parts[p % len(words)]) for p in pair.tolist()), bool, len(pair))
+        for a in at[fits[which]].tolist():
+            ways, z = {x for x in parts[codes[a]] if x in self.prefixes}, a + 1
+            while ways and z < len(codes) and not last[z]:
+                ways = {x + y for x in ways for y in parts.get(codes[z], ()) if x + y in self.prefixes}
+                for x in ways & self.heavy.keys():
+                    out.setdefault(int(np.searchsorted(offsets, a, "right")) - 1, {})[x] = self.heavy[x]
+                z += 1
+        return out
+
     def spaced(self, line: str) -> float:
         """The heaviest word in letters that stood apart."""
         return max((self.word(text[i : i + k]) for text in {line, self.characters.decode(line)} for i in range(len(text) - 2) for k in range(3, 13)), default=FLOOR)
@@ -257,18 +325,21 @@ class _Weigher:
 
 def _documents(b: pa.RecordBatch, offsets: np.ndarray, codes: np.ndarray, words: list[str], weighers: list[_Weigher]):
     """For each row the weights of its distinct chunks, under the weigher of its place in `weighers`."""
-    one = np.fromiter((len(w.strip(EDGE)) == 1 for w in words), bool, len(words))
+    plain = [is_plain(w) for w in words]
+    one = np.fromiter((len(w if known else w.strip(EDGE)) == 1 for w, known in zip(words, plain)), bool, len(words))
     spaced: dict[int, list[str]] = {}
     for r, a, z in _runs(offsets, one[codes] if len(codes) else np.array([], bool)):
         spaced.setdefault(r, []).append("".join(words[c].strip(EDGE) for c in codes[a:z].tolist()))
-    own = {id(w): np.fromiter(map(w.chunk, words), np.float64, len(words)) for w in set(weighers)}
+    joined = {id(w): w.joined(offsets, codes, words, plain) for w in set(weighers)}
+    own = {id(w): np.fromiter((w.word(x) if known else w.chunk(x) for x, known in zip(words, plain)), np.float64, len(words)) for w in set(weighers)}
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     pairs = np.unique(row * max(1, len(words)) + codes)
     row, codes = pairs // max(1, len(words)), pairs % max(1, len(words))
     at = np.searchsorted(row, np.arange(len(offsets)))
     for r, w in enumerate(weighers):
         mine = own[id(w)][codes[at[r] : at[r + 1]]]
-        yield np.append(mine, [w.spaced(line) for line in spaced[r]]) if r in spaced else mine
+        more = [*map(w.spaced, spaced.get(r, [])), *joined[id(w)].get(r, {}).values()]
+        yield np.append(mine, more) if more else mine
 
 
 def _summaries(model: dict, without: dict[int, dict[str, float]]):

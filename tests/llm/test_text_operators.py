@@ -176,6 +176,18 @@ def test_toxicity_decodes_and_learns(spark):
     assert kept.columns == ["doc_id", "text", "_toxicity"] and kept.count() == 300
 
 
+def test_toxicity_decodes_doubled_signs_and_split_words(spark):
+    bad = ("idiot", "stupid", "moron", "ass")
+    rows = [(i, f"some {bad[i // 4 % 4]} number{i} here" if i % 4 == 0 else f"some clean number{i} here, tomorrow as usual, sorry", int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    toxic = ["some stuupid here", "iidiot", "a mmorron", "455", "some @$$ here", "an a s s here", "a $ $", "some i d iot here", "stu pid", "s tupid, they said", "Mor ons of mor on", "1 d iot"]
+    clean = ["some clean text", "sorry, tomorrow as usual", "as she said", "was so", "number 2024 here", "stu", "pid stu", "--- ...", "an", ""]
+    got = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert all(s >= 0.3 for s in got[: len(toxic)]) and all(s < 0.3 for s in got[len(toxic) :]), list(zip(toxic + clean, got))
+    assert toxicity.score(spark.createDataFrame([(1, "stu"), (2, "pid")], "doc_id long, text string").coalesce(1), model).where("score >= 0.3").count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
