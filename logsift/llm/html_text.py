@@ -7,7 +7,9 @@ only says where the article is: the whole <article> or <main> around it is kept,
 to the page all that stands beside it, as long as nothing there is a menu or left out; where
 something is, siblings that aren't mostly links and hold a paragraph. No bar grows with the page.
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and hidden parts
-count for nothing and are left out wherever they stand.
+count for nothing and are left out wherever they stand. A class, id or role marks such a part if every
+word of a name is one of boilerplate or of layout (site-footer, but not has-sidebar or related-work), and
+doesn't where the element holds most of the page's points; comments, adverts and consent never count.
 
 Nulls: null or empty html, and a page without text, give an empty text; null page_id and url are
 kept. Unclosed, crossed and cut-off tags never fail. Repeated pages get a row each.
@@ -35,44 +37,80 @@ PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre td th blockquote figcapt
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# Words in class, id and role that mark what isn't the article.
+# Words in class, id and role that mark what isn't the article, those that no wrapper of an article has, and those that say nothing beside them.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert alertdialog".split())
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising captcha comment comments commentlist consent cookie cookies disqus gdpr hidden login newsletter reply respond".split())
+LAYOUT = frozenset("site page main global top bottom left right center upper lower primary secondary fixed sticky first second third inner outer wrap wrapper container box block area section region row column col panel bar list item items group holder slot unit zone inline mobile desktop link links button buttons icon icons title heading text body bg overlay the and of for by js id my wp m u l r".split())
+OF_ARTICLES = frozenset("article articles post posts entry story stories news blog content product products topic topics thread form media network networks google dfp facebook twitter count counter meta info message messages signup nav tags cloud sub".split())
 HEADER_WORDS = frozenset(("header", "topbar"))
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 2.0, "td": 1.0, "body": 0.0, "html": 0.0}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "chars", "links", "out", "kids", "prose")
+    __slots__ = ("tag", "parent", "score", "chars", "links", "out", "marked", "kids", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, marked: str = ""):
+        self.tag, self.parent, self.out, self.marked = tag, parent, out, marked
         self.score, self.chars, self.links, self.kids, self.prose = 0.0, 0, 0, [], False
 
     def linked(self) -> bool:
         return self.links * 2 >= self.chars > 0
 
 
-def _leaves_out(tag: str, attributes: str, parent: Node) -> bool:
-    """Whether an element and all in it is no part of an article."""
+def _marks(name: str) -> str:
+    """Whether a name in class, id or role says that an element isn't the article's: "foreign", "layout" or ""."""
+    words = {w.lower() for w in NAME.findall(name)}
+    if words & BOILERPLATE and words <= BOILERPLATE | LAYOUT | OF_ARTICLES:
+        return "foreign" if words & FOREIGN else "layout"
+    return "header" if words & HEADER_WORDS and words <= HEADER_WORDS | LAYOUT else ""
+
+
+def _leaves_out(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
+    """Whether an element and all in it is no part of an article for certain, and by what its names mark it as such."""
     if parent.out or tag in OUT:
-        return True
+        return True, ""
     if tag == "header":
         at = parent
         while at and at.tag not in ("article", "main"):
             at = at.parent
         if not at:
-            return True
+            return True, ""
+    marked = ""
     if not attributes.strip() or tag in ("html", "body"):
-        return False
+        return False, ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in NAME.findall(value)}
-            if words & BOILERPLATE and tag not in ("article", "main") or words & HEADER_WORDS and tag not in HEADINGS | {"header", "article", "main"} or tag == "header" and "banner" in words:
-                return True
+            for mark in map(_marks, value.split()):
+                if tag == "header" and "banner" in value.lower().split():
+                    return True, ""
+                if mark and tag not in ("article", "main") and not (mark == "header" and tag in HEADINGS | {"header"}):
+                    marked = marked if marked == "foreign" else mark
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, ""
+    return False, marked
+
+
+def _judge(blocks: list[tuple[Node, int, str]], nodes: list[Node]) -> None:
+    """Leaves marked elements out, but those that hold most of the points of all that isn't foreign."""
+    if not any(n.marked for n in nodes):
+        return
+    foreign, points = set(), dict.fromkeys(map(id, nodes), 0.0)
+    for n in nodes:
+        if n.marked == "foreign" or id(n.parent) in foreign:
+            foreign.add(id(n))
+    for n, links, text in blocks:
+        if not n.out and id(n) not in foreign and links * 2 < len(text):
+            points[id(n)] += _points(text)
+    for n in reversed(nodes):
+        if n.parent:
+            points[id(n.parent)] += points[id(n)]
+    for n in nodes:  # parents come before their children
+        n.out = n.out or bool(n.parent) and n.parent.out or bool(n.marked) and points[id(n)] * 2 <= points[id(nodes[0])]
+
+
+def _points(text: str) -> float:
+    return min(len(text) / 100, 3) + text.count(",") + (1 if len(text) >= 25 else 0)
 
 
 def _parse(html: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
@@ -144,7 +182,7 @@ def _parse(html: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
                 text.append(" ")
             continue
         if tag in INLINE:
-            if m[3] and _leaves_out(tag, m[3], stack[-1]) and not stack[-1].out and tag != "a":  # an inline advert
+            if m[3] and any(_leaves_out(tag, m[3], stack[-1])) and not stack[-1].out and tag != "a":  # an inline advert
                 found = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
                 at = found.end() if found else at
             elif tag == "a":
@@ -160,7 +198,7 @@ def _parse(html: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
                 close(HEADINGS)
         if tag in CLOSED_BY:
             close(CLOSED_BY[tag], ("ul", "ol", "table", "dl", "select"))
-        node = Node(tag, stack[-1], _leaves_out(tag, m[3], stack[-1]))
+        node = Node(tag, stack[-1], *_leaves_out(tag, m[3], stack[-1]))
         stack[-1].kids.append(node)
         nodes.append(node)
         stack.append(node)
@@ -181,6 +219,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     blocks, nodes = _parse(html)
+    _judge(blocks, nodes)
     kept = [(n, links, x) for n, links, x in blocks if not n.out and (n.tag in HEADINGS or not _article_header(n))]
     if not kept:
         return ""
@@ -190,7 +229,7 @@ def main_text(html: str | None) -> str:
             n.parent.links += n.links
     touched = {}
     for n, links, text in kept:
-        points = min(len(text) / 100, 3) + text.count(",") + (1 if len(text) >= 25 else 0)
+        points = _points(text)
         at = n.parent if n.tag in PARAGRAPH and n.parent else n
         share = 1.0
         while at and share >= 0.125:

@@ -105,6 +105,18 @@ def test_html_keeps_long_articles_whole():
         assert main_text(around.format(f"<div>{links}</div><article>{ps}</article><div>{links}</div>")).split("\n") == body
 
 
+def test_html_wrappers_named_like_boilerplate():
+    body = [f"Paragraph {k}, with commas, and, so, on, and enough words to count as a full one." for k in range(6)]
+    ps = "".join(f"<p>{p}</p>" for p in body)
+    noise = "<div class='site-footer'><p>All, rights, are, reserved, for, ever and ever.</p></div><ol class=comment-list><li><article class=comment-body><p>I, like, this, very, much.</p></article></ol><div id=cookieNotice><p>We, use, cookies, for, your, comfort, always.</p></div><div class='widget sidebar-left'><p>Other, things, to, read, here, today.</p></div>"
+    for wrapper in ("<div class='content-sidebar-wrap'>", "<div id=page class='site has-sidebar'>", "<div class='layout no-sidebar'>", "<div class=sidebar>", "<div class='site-header'>", "<section id='related-work'>", "<div class='social-policy'>", "<div role=banner class=widget>"):
+        for inner in (ps, f"<article>{ps}</article>", f"<main><div>{ps}</div></main>"):
+            assert main_text(f"<body><nav><a href=/>Home</a></nav>{wrapper}{inner}</div></section></div>{noise}</body>").split("\n") == body, (wrapper, inner[:9])
+    assert main_text(f"<article>{ps}<section id='related-work'><p>Others wrote.</p></section><div class='social-policy'><p>A policy.</p></div><div class=share-buttons>Share</div>{noise}</article>").split("\n") == [*body, "Others wrote.", "A policy."]
+    many = "<p>I, like, this, very, much, and, more, so, than, all.</p>" * 90
+    assert main_text(f"<div class=sidebar-layout><div class=sidebar>{ps}</div></div><div id=comments>{many}</div><div class=comments><article>{many}</article></div>").split("\n") == body
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 9), (1, "u", PAGE, 9), (None, None, None, 1)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.n_chars, r.page_id or 0) for r in extract(pages).collect()) == [(0, 0), (len(main_text(PAGE)), 1), (len(main_text(PAGE)), 1)]
