@@ -1,6 +1,7 @@
 """Benchmark passages in documents, up to edits, by CGK embedding and bit-sampling LSH.
 
-Texts are lists of words (letters and digits, lower case). A window of an item's length that
+Texts are lists of words (runs of letters and digits, lower case; of scripts that don't set words
+apart each character). A window of an item's length that
 turns into the item by at most a fifth of its words inserted, deleted or replaced must hold one
 of `edits + 1` pieces of the item whole; so only windows around such a piece are looked at, and none
 within the bound is lost. Each window and each item walks through its words under shared random
@@ -10,8 +11,9 @@ bucket key, over as many repetitions as the target recall needs. Windows and ite
 verified by the exact edit distance within the text around.
 
 Items come in blocks of at most ITEMS, each held by the workers while they pass over all texts:
-nothing is shuffled. Nulls: null texts and null items hold no words; items of fewer
-than LEAST words can't be told from chance and match nothing. A null doc_id is kept. Repeated
+nothing is shuffled. Items of fewer than LEAST words allow for no edit: they match where they
+stand exactly, found by the hash of the whole item and compared word by word. An item of
+fewer than FEWEST words matches nothing. Nulls: null texts and null items hold no words. A null doc_id is kept. Repeated
 rows are reported each. Empty tables give no rows.
 """
 
@@ -30,15 +32,17 @@ from logsift.llm.tokens import slices
 from logsift.llm.words import hashes, mix, split_words
 from logsift.session import ship_package
 
-ITEMS, LEAST, EDITS = 20_000, 5, 0.2
+ITEMS, FEWEST, LEAST, EDITS = 20_000, 2, 5, 0.2
 WALKS, SAMPLED, RECALL, AGREE = 8, 2, 0.999, 0.45  # AGREE: the least share of equal places expected within the bound
-WORD = re.compile(r"[^\W_]+")
+# Thai, Lao, Burmese, Khmer, kana, and Chinese characters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row offsets, hash of each word)."""
     offsets, codes, chunks = split_words(texts)
-    found = [WORD.findall(c) if not c.isalnum() else [c] for c in (x.lower() for x in chunks.to_pylist())]
+    found = [[c] if c.isalnum() and (c.isascii() or max(c) < UNSPACED[0]) else WORD.findall(c) for c in (x.lower() for x in chunks.to_pylist())]
     h = hashes(pa.array([w for f in found for w in f], pa.string())) if found else np.array([], np.uint64)
     n = np.fromiter(map(len, found), np.int64, len(found))
     start = np.cumsum(n) - n
@@ -108,9 +112,13 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]]):
         offsets, words = word_hashes(pa.array([t for _, t in items], pa.string()))
-        self.items = [(i, words[a:z]) for (i, _), a, z in zip(items, offsets[:-1], offsets[1:]) if z - a >= LEAST]
+        self.items = [(i, words[a:z]) for (i, _), a, z in zip(items, offsets[:-1], offsets[1:]) if z - a >= FEWEST]
+        self.exact: dict[tuple[int, ...], list[int]] = {}  # items of fewer than LEAST words
+        for k, (_, w) in enumerate(self.items):
+            if len(w) < LEAST:
+                self.exact.setdefault(tuple(w.tolist()), []).append(k)
         self.groups: dict[int, tuple] = {}  # by length: bucket keys, items, places
-        for n in sorted({len(w) for _, w in self.items}):
+        for n in sorted({len(w) for _, w in self.items if len(w) >= LEAST}):
             mine = [k for k, (_, w) in enumerate(self.items) if len(w) == n]
             flat, places, keys = np.concatenate([self.items[k][1] for k in mine]), _places(n), []
             walks = [embed(flat, np.arange(len(mine)) * n, (np.arange(len(mine)) + 1) * n, n, w) for w in range(WALKS)]
@@ -151,6 +159,9 @@ class Matcher:
             return []
         for n in np.unique(windows[:, 0]).tolist():
             k = edits_of(n)
+            if n < LEAST:
+                self._exact(n, windows[windows[:, 0] == n][:, 1:], offsets, words, found)
+                continue
             near = np.unique(windows[windows[:, 0] == n][:, 1:], axis=0)
             near = np.unique(np.column_stack([np.repeat(near[:, 0], 2 * k + 1), (near[:, 1][:, None] + np.arange(-k, k + 1)).reshape(-1)]), axis=0)
             row, start = near[:, 0], near[:, 1]
@@ -159,6 +170,14 @@ class Matcher:
                 self._bucket(n, k, row[keep][lo : lo + 20_000], start[keep][lo : lo + 20_000], offsets, words, found)
         return [(r, i, s, n, d) for (r, i), (d, s, n) in sorted(found.items())]
 
+    def _exact(self, n, windows, offsets, words, found) -> None:
+        windows = windows[np.lexsort((windows[:, 1], windows[:, 0]))]
+        texts = np.column_stack([windows[:, :1].astype(np.uint64), *(words[windows[:, 1] + j] for j in range(n))])
+        _, first = np.unique(texts, axis=0, return_index=True)  # the first place of each text in a row
+        for r, start in windows[first].tolist():
+            for i in self.exact.get(tuple(words[start : start + n].tolist()), ()):
+                found[r, i] = (0, start - int(offsets[r]), n)
+
     def _bucket(self, n, k, row, start, offsets, words, found) -> None:
         keys, owner, places = self.groups[n]
         walks, met = {}, []

@@ -132,6 +132,14 @@ def test_passages_of_odd_rows(spark):
     assert D.find_passages(docs, items.where("1 = 0")).count() == 0 and D.find_passages(docs.where("1 = 0"), items).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = spark.createDataFrame([(1, "Why not?"), (2, "what is it"), (3, "首都是哪里"), (4, "富士山"), (5, "สวัสดีชาวโลก"), (6, "one two three four"), (7, "..."), (8, None), (9, "一二三四五六七八九十"), (10, "why NOT")], "item_id long, text string")
+    texts = ["so, WHY not; why not", "What is. it?", "what was it", "中国的首都是哪里？", "我看富士山和富士", "เขาพูดว่าสวัสดีชาวโลกครับ", "one two three", "one two three four", "whys", "", None, "前一二三四五X七八九十后", "富士", "山"]
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.distance) for r in D.find_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), items).collect()}
+    assert set(got) == {(0, 1), (0, 10), (1, 2), (3, 3), (4, 4), (5, 5), (7, 6), (11, 9)}, got
+    assert got[0, 1] == (1, 2, 0) and got[1, 2] == (0, 3, 0) and got[3, 3] == (3, 5, 0) and got[4, 4] == (2, 3, 0) and got[11, 9][2] <= 2
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 2)
     items = [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(5)]
