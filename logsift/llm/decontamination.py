@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.llm.tokens import slices
+from logsift.llm.tokens import lean, slices
 from logsift.llm.words import hashes, mix, split_words
 from logsift.session import ship_package
 
@@ -263,7 +263,7 @@ def find_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     out = None
     for block in _blocks(items):
-        part = docs.select("doc_id", "text").mapInArrow(_matches(block), MATCHES)
+        part = docs.select("doc_id", "text").mapInArrow(lean(_matches(block)), MATCHES)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], MATCHES)
 
@@ -288,7 +288,7 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
         flag += "_"
     for block in _blocks(items):
         schema = T.StructType([*out.schema.fields, T.StructField(flag, T.BooleanType())])
-        out = out.mapInArrow(_flags(block, out.columns.index("text"), [*out.columns, flag]), schema).where(~F.col(flag)).drop(flag)
+        out = out.mapInArrow(lean(_flags(block, out.columns.index("text"), [*out.columns, flag])), schema).where(~F.col(flag)).drop(flag)
     return out
 
 

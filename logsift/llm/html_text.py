@@ -23,6 +23,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from logsift.llm.tokens import lean
 from logsift.session import ship_package
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*\Z", re.DOTALL)
@@ -290,7 +291,7 @@ def _extract(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages(page_id, url, html)."""
     ship_package(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

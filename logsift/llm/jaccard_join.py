@@ -1,31 +1,35 @@
 """Exact Jaccard self-join of documents on word shingles, by T-occurrence search.
 
-1. One pass over the texts gives each document its set of shingle hashes, a 128-bit digest of
-   the set, and the sums of its parts: the hash range is cut into one part more than two
-   linked sets of such sizes can differ in, so they agree in one part at least. Sizes fall
-   into steps of the threshold, and a set is cut for its own step and for the next.
-2. Part sums travel as packed, sorted blobs by hash range; where two or more sets agree in a part,
-   they form a block. Documents with equal sets are one class from here on.
-3. Every class of a block is searched against one class of the block, that of most blocks. What
-   links is joined; bitmaps of parities rule out most that can't be. All that share blocks with one class
-   include every pair that shares a block; of them, those still in other components search the rest, by
+1. One pass over the texts gives each document its set of shingle hashes, a 128-bit digest of the
+   set and a bitmap of parities. Documents with equal sets are one class from here on.
+2. The lengths of all inverted lists (in how many sets a shingle stands) are counted from packed, sorted
+   blobs by hash range, to which each flush of a task adds every shingle once; each flush is told
+   the lengths of those of its shingles that stand in two sets or more.
+3. T-occurrence: of a set of n shingles, a linked one must share T = ceil(n percent / 100) at least. DivideSkip
+   sets the T - 1 longest lists apart; what is left, the n - T + 1 shortest, must hold each linked document
+   once at least, under one order for all sets. So only these short lists are built and merged, over class
+   representatives; lists of one are none.
+4. Every class of a list is searched against one class of it, that of most short lists. What
+   links is joined; the bitmaps rule out most that can't be. All that share lists with one class
+   include every pair that shares a list; of them, those still in other components search the rest, by
    bitmaps and by what they differ in from that class, in cells of bounded size that give no more links
    than it takes to join components.
-4. A search takes the inverted lists of the query's shingles over its candidates and needs T
-   occurrences: DivideSkip sets the longest lists apart, merges the others in a heap, and probes
-   the long ones by binary search for those candidates that can still reach T.
+5. A search of a set among candidates is DivideSkip again, over the inverted index of the candidates: short
+   lists are merged in a heap, long ones are probed by binary search for those candidates that can still
+   reach T.
 
-Nothing is dropped: each linked pair shares a block, and each pair of a block is either
+Nothing is dropped: each linked pair shares a short list, and each pair of a list is either
 joined already or searched. Nulls: a null text has no words; such documents have the empty set,
 are linked with nothing and are their own component; a null doc_id counts as no id in a
-component's least. Repeated rows are one class. An empty table gives no rows.
+component's least. Repeated rows are one class; ties of list lengths go by the hash. A very long
+text is one set, held whole by one worker. Only doc_id and text are read, so other columns can't clash; an
+empty table gives no rows. Below 50 percent it is refused, as sizes may then lie further apart than bitmaps compare.
 """
 
 from __future__ import annotations
 
 import heapq
 import os
-from bisect import bisect_left
 from itertools import groupby
 
 import numpy as np
@@ -35,12 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.tokens import slices
+from logsift.llm.tokens import lean, slices
 from logsift.llm.words import hashes, mix, part_of, split_words
 from logsift.llm.ngram_lm import _save
 from logsift.session import local_path, shared_dir, ship_package
 
-FLUSH = 2_000_000
+FLUSH = 1_000_000  # pairs of shingle and document that a task holds at once
+SHARD_BYTES = 32 << 20  # of input for each shard of hashes
 LEAST_BITS = 10  # a set's bitmap has 2^10 bits at least
 CELL, CELL_BYTES = 256, 4 << 20  # rows that ask, and bytes, in one cell of a search
 
@@ -72,42 +77,26 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(row, np.arange(len(n) + 1)), out
 
 
-def step_of(n: np.ndarray, percent: int) -> np.ndarray:
-    """Size step of each set: linked sets are in the same or in neighbouring steps."""
-    return _edges(percent).searchsorted(n, "right") - 1
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, each by byte planes, compressed."""
+    data = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.int64(len(c)).tobytes() for c in columns) + data)
 
 
-def _edges(percent: int) -> np.ndarray:
-    """First sizes of the steps: x is at most one step below any size that x >= percent/100 of."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 100 // percent + 1))
-    return np.array(out, np.int64)
-
-
-def parts_of(step: np.ndarray, percent: int) -> np.ndarray:
-    """How many parts sets are cut into for a step: over what two sets up to its end can differ in."""
-    top = _edges(percent)[step + 1] - 1
-    return 2 * top * (100 - percent) // (100 + percent) + 1
-
-
-def _pack(keys: np.ndarray, uids: np.ndarray) -> bytes:
-    """(key, uid) pairs, sorted by key, as differences by byte planes."""
-    order = np.argsort(keys, kind="stable")
-    keys, uids = keys[order], uids[order]
-    planes = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes(np.diff(keys, prepend=np.uint64(0))) + planes(uids))
-
-
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _columns(data: bytes, *kinds: str) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    keys, uids = (x.reshape(8, -1).T.copy().view("<u8").reshape(-1) for x in (raw[: len(raw) // 2], raw[len(raw) // 2 :]))
-    return np.cumsum(keys, dtype=np.uint64), uids.astype(np.int64)
+    sizes, at, out = raw[: 8 * len(kinds)].view("<i8").tolist(), 8 * len(kinds), []
+    for n, kind in zip(sizes, kinds):
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).reshape(-1).view(kind))
+        at += n * wide
+    return out
 
 
-STAGED = "kind int, uid long, doc_id long, n long, hi long, lo long, shard int, data binary"
+STAGED = "kind int, uid long, doc_id long, text_hash long, n long, hi long, lo long, shard int, flush long, data binary"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 _SCHEMA = pa.schema([(n, _KINDS[t]) for n, t in (f.split() for f in STAGED.split(", "))])
+DOCUMENT, LENGTHS, FLUSHED, TOLD, STANDS = range(5)  # kinds of staged rows
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -177,103 +166,142 @@ class _Bitmaps:
         return out
 
 
-def _part_sums(offsets: np.ndarray, sets: np.ndarray, percent: int):
-    """(key, row) of the parts of all rows, for their own size step and the next."""
-    sizes = np.diff(offsets)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    full = np.flatnonzero(sizes)
-    for more in (0, 1):
-        step = np.zeros(len(sizes), np.int64)
-        step[full] = step_of(sizes[full], percent) + more
-        parts = parts_of(step, percent)
-        with np.errstate(over="ignore"):
-            at = (sets >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)
-            place = np.concatenate([[0], np.cumsum(np.where(sizes > 0, parts, 0))])
-            cell = place[row] + at.astype(np.int64)
-            sums, many = np.zeros(place[-1], np.uint64), np.zeros(place[-1], np.int64)
-            if len(cell):
-                starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))  # parts keep the order of hashes
-                sums[cell[starts]] = np.add.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-                many[cell[starts]] = np.diff(np.append(starts, len(cell)))
-            owner = np.repeat(np.arange(len(sizes)), np.where(sizes > 0, parts, 0))
-            index = np.arange(place[-1]) - place[owner]
-            key = mix(sums + mix((step[owner] << 32 | index).astype(np.uint64)) + many.astype(np.uint64))
-        yield key, owner
-
-
-def _stage(width: int, percent: int, shards: int):
+class _Flush:
+    """Shingles of some documents of a task: by hash, each with the rows that hold it."""
+
+    def __init__(self, first: int):
+        self.first, self.rows, self.hashes, self.owners, self.sizes, self.pairs = first, 0, [], [], [], 0
+
+    def add(self, sets: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> None:
+        self.hashes.append(sets)
+        self.owners.append((self.rows + owner).astype(np.int32))
+        self.sizes.append(sizes)
+        self.rows += len(sizes)
+        self.pairs += len(sets)
+
+    def out(self, shards: int):
+        """Of each range of hashes the distinct ones with their counts, and for this flush's own use the rows
+        that hold them, in the same order."""
+        h, owner = np.concatenate(self.hashes), np.concatenate(self.owners)
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.array([], np.int64)
+        times = np.diff(np.append(first, len(h))).astype(np.uint32)
+        distinct = h[first]
+        shard = part_of(distinct, shards)
+        at = np.searchsorted(shard, np.arange(shards + 1))
+        used = np.flatnonzero(np.diff(at))
+        data = [_planes(np.diff(distinct[at[p] : at[p + 1]], prepend=np.uint64(0)), times[at[p] : at[p + 1]]) for p in used.tolist()]
+        yield _rows(kind=pa.array([LENGTHS] * len(used)), shard=pa.array(used), flush=pa.array([self.first] * len(used)), data=pa.array(data, pa.binary()))
+        own = _planes(times, owner, np.concatenate(self.sizes).astype(np.int64), np.stack([used, at[used]]).reshape(-1))
+        yield _rows(kind=pa.array([FLUSHED]), flush=pa.array([self.first]), data=pa.array([own], pa.binary()))
+
+
+def _stage(width: int, shards: int):
     def run(batches):
         from pyspark import TaskContext
 
-        uid, keys, uids, size = TaskContext.get().partitionId() << 40, [], [], 0
-        seen: set[tuple[int, int]] = set()
-
-        def flush():
-            k, u = np.concatenate(keys), np.concatenate(uids)
-            shard = part_of(k, shards)
-            order = np.argsort(shard, kind="stable")
-            k, u, shard = k[order], u[order], shard[order]
-            used, at = np.unique(shard, return_index=True)
-            data = [_pack(k[a:z], u[a:z]) for a, z in zip(at, [*at[1:], len(k)])]
-            return _rows(kind=pa.array([1] * len(used)), shard=pa.array(used), data=pa.array(data, pa.binary()))
-
+        uid = TaskContext.get().partitionId() << 40
+        held, seen = _Flush(uid), set()
         for batch in batches:
-            for b in slices(batch, 1, 3_000_000):
+            for b in slices(batch, 1, 2_000_000):
                 offsets, sets = shingle_sets(b.column(1), width)
                 hi, lo = _digests(offsets, sets)
                 n, own = np.diff(offsets), uid + np.arange(b.num_rows)
-                yield _rows(kind=pa.array([0] * b.num_rows), uid=pa.array(own), doc_id=b.column(0), n=pa.array(n), hi=pa.array(hi), lo=pa.array(lo), shard=pa.array(own % shards), data=_bitmaps(offsets, sets))
-                if len(seen) > 500_000:
+                yield _rows(kind=pa.array([DOCUMENT] * b.num_rows), uid=pa.array(own), doc_id=b.column(0), text_hash=b.column(2), n=pa.array(n), hi=pa.array(hi), lo=pa.array(lo), flush=pa.array([held.first] * b.num_rows), data=_bitmaps(offsets, sets))
+                if len(seen) > 200_000:
                     seen.clear()
-                fresh = np.zeros(b.num_rows, bool)  # a set that this task has cut before adds nothing
-                for r, d in enumerate(zip(hi.tolist(), lo.tolist())):
-                    if d not in seen:
-                        seen.add(d)
-                        fresh[r] = n[r] > 0
-                for key, owner in _part_sums(offsets, sets, percent):
-                    keep = fresh[owner]
-                    keys.append(key[keep])
-                    uids.append(own[owner[keep]])
-                    size += len(keys[-1])
+                fresh = np.zeros(b.num_rows, bool)  # a set that this task has met before adds nothing
+                for r, d in enumerate(lo.tolist()):
+                    if n[r] and (d, hi[r]) not in seen:
+                        seen.add((d, hi[r]))
+                        fresh[r] = True
+                row = np.repeat(np.arange(b.num_rows), n)
+                held.add(sets[fresh[row]], row[fresh[row]], n)
                 uid += b.num_rows
-                if size > FLUSH:
-                    yield flush()
-                    keys, uids, size = [], [], 0
-        if size:
-            yield flush()
+                if held.pairs > FLUSH:
+                    yield from held.out(shards)
+                    held = _Flush(uid)
+        if held.pairs:
+            yield from held.out(shards)
 
     return run
 
 
-def _blocks(batches):
-    """Of rows sorted by kind and shard: documents as they are; of each shard's blobs the (key,
-    uid) pairs of part sums that two or more rows have, packed; and in how many blocks each row is (kind 2)."""
-
-    def agreeing(shard: int, blobs: list[bytes]):
-        k, u = map(np.concatenate, zip(*map(_unpack, blobs)))
-        order = np.argsort(k, kind="stable")
-        k, u = k[order], u[order]
-        same = k[1:] == k[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        k, u = k[keep], u[keep]
-        if len(k):
-            uids, times = np.unique(u, return_counts=True)
-            yield _rows(kind=pa.array([1]), shard=pa.array([shard]), data=pa.array([_pack(k, u)], pa.binary()))
-            yield _rows(kind=pa.array([2] * len(uids)), uid=pa.array(uids), n=pa.array(times))
-
-    at, blobs = None, []
+def _by_shard(batches, column: str, *more: str):
+    """(shard, rows of `more`) of batches sorted by a column."""
+    at, rows = None, []
     for b in batches:
-        kind = b.column("kind").to_numpy()
-        yield b.filter(pa.array(kind == 0))
-        some = b.filter(pa.array(kind == 1))
-        for shard, data in zip(some.column("shard").to_pylist(), some.column("data").to_pylist()):
+        for shard, *row in zip(*(b.column(c).to_pylist() for c in (column, *more))):
             if at is not None and shard != at:
-                yield from agreeing(at, blobs)
-                blobs = []
+                yield at, rows
+                rows = []
             at = shard
-            blobs.append(data)
-    if blobs:
-        yield from agreeing(at, blobs)
+            rows.append(row)
+    if rows:
+        yield at, rows
+
+
+def _lengths(batches):
+    """Of blobs sorted by shard: tells every flush which of its shingles stand in two sets or more, and in how many."""
+    for shard, blobs in _by_shard(batches, "shard", "flush", "data"):
+        flushes, parts, times = [f for f, _ in blobs], [], []
+        for _, data in blobs:
+            h, t = _columns(data, "<u8", "<u4")
+            parts.append(np.cumsum(h, dtype=np.uint64))
+            times.append(t)
+        sizes = np.array([len(x) for x in parts])
+        h, t = np.concatenate(parts), np.concatenate(times)
+        del parts, times
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        lengths = np.empty(len(h), np.int64)
+        lengths[order] = np.repeat(np.add.reduceat(t[order].astype(np.int64), first), np.diff(np.append(first, len(h))))
+        del order, t
+        for f, a, z in zip(flushes, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+            some = np.flatnonzero(lengths[a:z] > 1)
+            if len(some):
+                yield _rows(kind=pa.array([TOLD]), shard=pa.array([shard]), flush=pa.array([f]), data=pa.array([_planes(some.astype(np.uint32), h[a:z][some], lengths[a:z][some])], pa.binary()))
+
+
+SHORT = "hash long, uid long, times long"
+
+
+def _short_lists(percent: int):
+    """Of rows sorted by flush and kind: (hash, uid) of the shortest lists of each class's set, without those of one, and
+    how many of them the class stands in."""
+
+    def run(batches):
+        for first, rows in _by_shard(batches, "flush", "kind", "shard", "uid", "data"):
+            own = next(data for kind, _, _, data in rows if kind == FLUSHED)
+            times, owner, sizes, place = _columns(own, "<u4", "<i4", "<i8", "<i8")
+            base = dict(place.reshape(2, -1).T.tolist())
+            stands = np.zeros(len(sizes), bool)
+            stands[[uid - first for kind, _, uid, _ in rows if kind == STANDS]] = True
+            told = [(base[shard], _columns(data, "<u4", "<u8", "<i8")) for kind, shard, _, data in rows if kind == TOLD]
+            if not told:
+                continue
+            which = np.concatenate([b + c[0].astype(np.int64) for b, c in told])
+            h, length = (np.concatenate([c[k] for _, c in told]) for k in (1, 2))
+            ends = np.cumsum(times, dtype=np.int64)
+            many = times[which].astype(np.int64)
+            at = np.arange(many.sum()) + np.repeat(ends[which] - times[which] - np.cumsum(many) + many, many)
+            row, which = owner[at], np.repeat(np.arange(len(h)), many)
+            keep = stands[row]
+            row, which = row[keep], which[keep]
+            order = np.lexsort((h[which], length[which], row))
+            row, which = row[order], which[order]
+            shared = np.bincount(row, minlength=len(sizes))
+            rank = np.arange(len(row)) - (np.cumsum(shared) - shared)[row]
+            short = sizes - -(-percent * sizes // 100) + 1 - (sizes - shared)  # lists of one are the shortest
+            keep = rank < short[row]
+            row, which = row[keep], which[keep]
+            out = np.bincount(row, minlength=len(sizes))
+            for a in range(0, len(row), 100_000):
+                r, w = row[a : a + 100_000], which[a : a + 100_000]
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(h[w].view(np.int64)), "uid": pa.array(first + r.astype(np.int64)), "times": pa.array(out[r])})
+
+    return run
 
 
 class LongFile:
@@ -355,57 +383,50 @@ class BitmapFile:
         return sizes, out
 
 
-def _centres(blocks_of: LongFile):
-    """(a, b): each row of a block with that row of it which is in most blocks of all."""
-
-    def run(batches):
-        seen = np.empty((0, 2), np.int64)
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                k, u = _unpack(data)
-                uids, back = np.unique(u, return_inverse=True)
-                rank = blocks_of.find(uids)[1][back]
-                order = np.lexsort((u, -rank, k))
-                k, u = k[order], u[order]
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                centre = np.repeat(u[first], np.diff(np.append(first, len(k))))
-                seen = np.unique(np.concatenate([seen, np.stack([centre, u], 1)[centre != u]]), axis=0)
-                if len(seen) > 500_000:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(seen[:, 0]), "b": pa.array(seen[:, 1])})
-                    seen = np.empty((0, 2), np.int64)
-        if len(seen):
-            yield pa.RecordBatch.from_pydict({"a": pa.array(seen[:, 0]), "b": pa.array(seen[:, 1])})
-
-    return run
+class Lists:
+    """The inverted index of some sets: for each element the sets that hold it, in order, as one sorted array."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.many = max(1, len(sets))
+        flat = np.concatenate(sets) if sets else np.array([], np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], owner[order]
+        self.first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.array([], np.int64)
+        self.elements = flat[self.first]
+        self.ends = np.append(self.first[1:], len(flat))
+        self.places = np.repeat(np.arange(len(self.first)), self.ends - self.first) * self.many + self.owner  # (list, set) in order
+
+    def divide_skip(self, query: np.ndarray, need: list[int]) -> list[int]:
+        """Which sets share at least as many elements with the query as each needs."""
+        least = np.array(need, np.int64)
+        found = np.flatnonzero(least <= 0).tolist()
+        if len(found) == len(least):
+            return found
+        at = np.minimum(np.searchsorted(self.elements, query), max(len(self.elements) - 1, 0))
+        lists = at[self.elements[at] == query] if len(self.elements) else at[:0]
+        lists = lists[np.argsort(self.first[lists] - self.ends[lists], kind="stable")]  # the longest first
+        size = (self.ends - self.first)[lists]
+        apart = min(int(least[least > 0].min()) - 1, int((size * 4 > self.many).sum()))  # long lists, fewer than T of them
+        longs, shorts = lists[:apart], lists[apart:]
+        heap = heapq.merge(*(self.owner[a:z].tolist() for a, z in zip(self.first[shorts].tolist(), self.ends[shorts].tolist())))
+        met = [(c, sum(1 for _ in times)) for c, times in groupby(heap)]
+        met = [(c, n) for c, n in met if n + apart >= least[c] > 0]
+        if not met:
+            return found
+        c, n = np.array(met).T
+        for lo in range(0, apart, 64):  # those that can't reach T any more are left out
+            probed = longs[lo : lo + 64][:, None] * self.many + c
+            i = np.minimum(np.searchsorted(self.places, probed), len(self.places) - 1)
+            n = n + (self.places[i] == probed).sum(0)
+            may = n + max(0, apart - lo - 64) >= least[c]
+            c, n = c[may], n[may]
+        return found + c[n >= least[c]].tolist()
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: list[int]) -> list[int]:
     """Which candidates (sorted sets) share at least as many elements with the query as each needs."""
-    found = [c for c, t in enumerate(need) if t <= 0]
-    rest = [c for c, t in enumerate(need) if t > 0]
-    if not rest:
-        return found
-    flat = np.concatenate([candidates[c] for c in rest])
-    owner = np.repeat(rest, [len(candidates[c]) for c in rest])
-    at = np.searchsorted(query, flat)
-    hit = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == flat) if len(query) else np.zeros(len(flat), bool)
-    order = np.lexsort((owner[hit], at[hit]))
-    token, owner = at[hit][order], owner[hit][order]
-    ends = np.searchsorted(token, np.arange(len(query) + 1)).tolist()
-    owner = owner.tolist()
-    lists = sorted((owner[a:z] for a, z in zip(ends, ends[1:])), key=len, reverse=True)
-    apart = min(min(need[c] for c in rest) - 1, sum(len(x) * 4 > len(rest) for x in lists))  # long lists, fewer than T of them
-    longs = lists[:apart]
-    for c, times in groupby(heapq.merge(*lists[apart:])):
-        count = sum(1 for _ in times)
-        for k, x in enumerate(longs):
-            if count + apart - k < need[c]:
-                break
-            i = bisect_left(x, c)
-            count += i < len(x) and x[i] == c
-        if count >= need[c]:
-            found.append(c)
-    return found
+    return Lists(candidates).divide_skip(query, need)
 
 
 TESTED = "a long, b long, na long, nb long, linked boolean, apart binary"
@@ -501,7 +522,7 @@ def _sets(width: int, ids: LongFile, nulls: bool):
             null = doc_id.is_null().to_numpy(zero_copy_only=False)
             wanted = ids.find(doc_id.fill_null(0).to_numpy(zero_copy_only=False))[0] & ~null | null & nulls
             some = batch.filter(pa.array(wanted))
-            for b in slices(some, 1, 3_000_000):
+            for b in slices(some, 1, 2_000_000):
                 offsets, sets = shingle_sets(b.column(1), width)
                 hi, lo = _digests(offsets, sets)
                 data = sets.astype("<u8").tobytes()
@@ -520,13 +541,13 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 def _tested(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs(a, b) of classes, each with whether it is linked and what its sets differ in."""
     needed = _kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node"), "join-needed")
-    shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = _shards(docs)
     ids = LongFile.write(needed.select(F.col("doc_id").alias("key")).distinct(), shards)
     nulls = needed.where("doc_id is null").limit(1).count() > 0
-    sets = docs.select("doc_id", "text").mapInArrow(_sets(width, ids, nulls), "hi long, lo long, shingles binary")
+    sets = docs.select("doc_id", "text").mapInArrow(lean(_sets(width, ids, nulls)), "hi long, lo long, shingles binary")
     sets = _kept(sets.join(needed, ["hi", "lo"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "join-sets")
     full = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    return _kept(full.select("a", "b", "sa", "sb").sortWithinPartitions("a").mapInArrow(_search(percent), TESTED), "join-tested")
+    return _kept(full.select("a", "b", "sa", "sb").sortWithinPartitions("a").mapInArrow(lean(_search(percent)), TESTED), "join-tested")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -546,27 +567,44 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
+def _shards(docs: DataFrame) -> int:
+    """Shards of hashes: as many as the session's partitions, more where the input (if Spark knows its size) is large for them."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0 if size >= 1 << 60 else size // SHARD_BYTES)
+
+
+def short_lists(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, short lists) of docs(doc_id, text)."""
+    spark, shards = docs.sparkSession, _shards(docs)
+    staged = shared_dir(spark, "join-staged")
+    cut = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(_stage(width, shards)), STAGED)
+    cut.write.partitionBy("kind").parquet(staged)
+    read = spark.read.schema(STAGED).parquet(staged)
+    rows = read.where(F.col("kind") == DOCUMENT).select("uid", "doc_id", "text_hash", "n", "hi", "lo", "flush", F.col("data").alias("bitmap"))
+    one = F.min_by(F.struct("doc_id", "n", "flush", "bitmap"), "uid").alias("of")
+    classes = _kept(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("uid").alias("node"), one).select("hi", "lo", "node", "of.*"), "join-classes")
+    lengths = read.where(F.col("kind") == LENGTHS).repartition(shards, "shard").sortWithinPartitions("shard", "flush").mapInArrow(lean(_lengths), STAGED)
+    own = read.where(F.col("kind") == FLUSHED).select(*_SCHEMA.names)
+    stands = classes.select(*(F.lit(STANDS).alias(c) if c == "kind" else F.col("node").alias(c) if c == "uid" else F.col(c) if c == "flush" else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in STAGED.split(", "))))
+    told = own.unionByName(lengths).unionByName(stands).repartition(shards, "flush").sortWithinPartitions("flush", "kind")
+    return rows, classes, _kept(told.mapInArrow(lean(_short_lists(percent)), SHORT), "join-lists")
+
+
 def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, uid, n_shingles, component_id) of docs(doc_id, text)."""
+    """(doc_id, text_hash, uid, n_shingles, component_id, first_uid) of docs(doc_id, text)."""
+    if not 50 <= percent <= 100:
+        raise ValueError(f"{percent}: a similarity of 50 to 100 percent is needed")
     spark = docs.sparkSession
     ship_package(spark)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    staged = shared_dir(spark, "join-staged")
-    cut = docs.select("doc_id", "text").mapInArrow(_stage(width, percent, shards), STAGED)
-    dealt = cut.repartition(shards, "shard").sortWithinPartitions("kind", "shard")
-    dealt.mapInArrow(_blocks, STAGED).write.partitionBy("kind").parquet(staged)
-    read = spark.read.schema(STAGED).parquet(staged)
-    rows = read.where("kind = 0").select("uid", "doc_id", "n", "hi", "lo", F.col("data").alias("bitmap"))
-    classes = _kept(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.first("n").alias("n"), F.min("bitmap").alias("bitmap")), "join-classes")
-    # the row of most blocks is the likeliest to be what the others of a block were made from
-    blocks_of = LongFile.write(read.where("kind = 2").groupBy("uid").agg(F.sum("n").alias("value")).withColumnRenamed("uid", "key"), shards)
-    near = read.where("kind = 1").select("data").mapInArrow(_centres(blocks_of), "a long, b long").distinct()
-    node_of = rows.where("n > 0").join(classes.select("hi", "lo", "node"), ["hi", "lo"]).select("uid", "node")
-    stars = near.join(node_of.select(F.col("uid").alias("a"), F.col("node").alias("x")), "a").join(node_of.select(F.col("uid").alias("b"), F.col("node").alias("z")), "b")
-    stars = _kept(stars.where("x <> z").select(F.col("x").alias("a"), F.col("z").alias("b")).distinct(), "join-pairs")
+    shards = _shards(docs)
+    rows, classes, lists = short_lists(docs, width, percent)
+    # the class of most short lists is the likeliest to be what the others were made from
+    centres = lists.groupBy("hash").agg(F.max(F.struct("times", (-F.col("uid")).alias("uid"))).alias("top"), F.count("*").alias("all")).where("all > 1")
+    centres = _kept(centres.select("hash", (-F.col("top.uid")).alias("a")), "join-centres")
+    stars = _kept(lists.join(centres, "hash").where("a <> uid").select("a", F.col("uid").alias("b")).distinct(), "join-pairs")
     identity = classes.select("hi", "lo", "node", "doc_id")
     maps = BitmapFile.write(classes, shards)
-    judged = _kept(stars.mapInArrow(_split(percent, maps), "a long, b long, nb long, may boolean"), "join-judged")
+    judged = _kept(stars.mapInArrow(lean(_split(percent, maps)), "a long, b long, nb long, may boolean"), "join-judged")
     tested = _tested(judged.where("may").select("a", "b"), identity, docs, width, percent)
     links = tested.where("linked").select("a", "b")
     comps = components(links)
@@ -589,22 +627,30 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     last = _tested(more.where("not sure").select("a", "b"), identity, docs, width, percent).where("linked").select("a", "b")
     comps = _kept(components(_kept(links.union(more.where("sure").select("a", "b")).union(last), "join-links")), "join-components")
     of_class = classes.join(comps, "node", "left").select("hi", "lo", F.coalesce("comp", "node").alias("comp"))
-    joined = _kept(rows.where("n > 0").join(of_class, ["hi", "lo"]).select("uid", "doc_id", "n", "comp"), "join-rows")
-    least = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("uid").alias("first_uid"))
-    out = joined.join(least, "comp").select("doc_id", "uid", F.col("n").alias("n_shingles"), "component_id", "first_uid")
-    return out.unionByName(rows.where("n = 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("uid").alias("first_uid")))
+    joined = _kept(rows.where("n > 0").join(of_class, ["hi", "lo"]).select("uid", "doc_id", "text_hash", "n", "comp"), "join-rows")
+    # written, so that the join below is split where a component is large
+    least = _kept(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).getField("uid").alias("first_uid")), "join-least")
+    out = joined.join(least, "comp").select("doc_id", "text_hash", "uid", F.col("n").alias("n_shingles"), "component_id", "first_uid")
+    return out.unionByName(rows.where("n = 0").select("doc_id", "text_hash", "uid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("uid").alias("first_uid")))
 
 
 def first_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """docs with one document of each component, that of the least doc_id; of repeated rows one
-    stays. Documents without words all stay."""
+    """docs with one document of each component, that of the least doc_id; of its repeated rows one
+    stays. Documents without words all stay. Rows are told apart by doc_id and text, so one id may have several
+    texts; columns of any name stay."""
     found = _kept(similar_documents(docs, width, percent), "join-found")
-    some = found.where("n_shingles > 0")
-    ids = some.groupBy("doc_id").agg(F.count("*").alias("_times"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
-    ids = ids.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left").where(F.col("_stays").isNull() | F.col("_stays"))
-    twice = joined.where("_times > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return joined.where("_times is null or _times = 1").select(*docs.columns).unionByName(twice)
+    own = _unlike(docs.columns, 4)
+    stays = found.groupBy(F.col("doc_id").alias(own[0]), F.col("text_hash").alias(own[1])).agg(F.max((F.col("uid") == F.col("first_uid")) | (F.col("n_shingles") == 0)).alias(own[2]), F.count_if(F.col("n_shingles") > 0).alias(own[3]))
+    same = docs["doc_id"].eqNullSafe(F.col(own[0])) & (F.xxhash64(docs["text"]) == F.col(own[1]))
+    joined = docs.join(stays.where(F.col(own[2])), same)
+    twice = joined.where(F.col(own[3]) > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return joined.where(F.col(own[3]) <= 1).select(*docs.columns).unionByName(twice)
+
+
+def _unlike(columns: list[str], many: int) -> list[str]:
+    """Names that no column has."""
+    taken = {c.lower() for c in columns}
+    return [n for n in (f"_join_{k}" for k in range(len(columns) + many)) if n not in taken][:many]
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

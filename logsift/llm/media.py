@@ -32,6 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from logsift.llm.tokens import lean
 from logsift.session import local_path, shared_dir, ship_package
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # planning workers may not see this package
@@ -252,7 +253,7 @@ def _features(batches):
 
 def media_features(media: DataFrame) -> DataFrame:
     """Digests and features of members as they were read back."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(_features), FEATURES)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

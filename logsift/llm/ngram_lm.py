@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm.tokens import slices
+from logsift.llm.tokens import lean, slices
 from logsift.llm.words import hashes, mix, part_of, split_words
 from logsift.session import local_path, shared_dir, ship_package
 
@@ -284,8 +284,8 @@ def train(docs: DataFrame, path: str | None = None) -> dict:
     path = local_path(path or shared_dir(spark, "ngram-lm"))
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select("text")
-    counted = _dealt(docs.mapInArrow(_count_words(shards), BLOB), shards)
-    got = {r.shard: r for r in counted.mapInArrow(_write_words(path), "shard int, n long, total long").collect()}
+    counted = _dealt(docs.mapInArrow(lean(_count_words(shards)), BLOB), shards)
+    got = {r.shard: r for r in counted.mapInArrow(lean(_write_words(path)), "shard int, n long, total long").collect()}
     sizes = [got[p].n if p in got else 0 for p in range(shards)]
     total, base = sum(r.total for r in got.values()), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     model = {"path": path, "sizes": sizes, "tokens": total, "words": int(base[-1]), "shards": shards}
@@ -298,15 +298,15 @@ def train(docs: DataFrame, path: str | None = None) -> dict:
         if n:
             hot += (base[p] + np.flatnonzero(np.load(f"{path}/counts/{p}.npy", mmap_mode="r") > total / (4 * shards))).tolist()
     hot = np.array(hot, np.int64)  # at most 4 * shards + 1
-    pairs = _dealt(docs.mapInArrow(_count_pairs(path, sizes, hot, shards), BLOB), shards)
+    pairs = _dealt(docs.mapInArrow(lean(_count_pairs(path, sizes, hot, shards)), BLOB), shards)
     sums_path = shared_dir(spark, "ngram-sums")
-    pairs.mapInArrow(_write_pairs(path, base, hot), PAIR_SUMS).write.partitionBy("kind").parquet(sums_path)
+    pairs.mapInArrow(lean(_write_pairs(path, base, hot)), PAIR_SUMS).write.partitionBy("kind").parquet(sums_path)
     sums = spark.read.schema(PAIR_SUMS).parquet(sums_path)
     n = sums.where("kind = 0").agg(*(F.sum(c).alias(c) for c in ("id", "n1", "n2", "n3", "n4"))).first()
     model["d"] = discounts(n.n1, n.n2, n.n3, n.n4)
     model["hot"] = {r.id: (r.total, r.n1, r.n2, r.n3) for r in sums.where("kind = 1").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3"))).collect()}
     before = _dealt(sums.where("kind = 2").select("kind", "shard", "data"), shards)
-    b = before.mapInArrow(_write_before(path, base), "n1 long, n2 long, n3 long, n4 long, total long, more long").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "more"))).first()
+    b = before.mapInArrow(lean(_write_before(path, base)), "n1 long, n2 long, n3 long, n4 long, total long, more long").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "more"))).first()
     model["d1"] = d = discounts(b.n1, b.n2, b.n3, b.n4)
     model["pairs"] = b.total
     model["left"] = (d[1] * b.n1 + d[2] * b.n2 + d[3] * b.more) / b.total
@@ -401,7 +401,7 @@ def score(docs: DataFrame, model: dict, held_out: Column) -> DataFrame:
     """Scores docs(doc_id, text) under a model of train()."""
     ship_package(docs.sparkSession)
     return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(
-        _score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+        lean(_score(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     )
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logsift.llm.tokens import BYTE_BPE, encoder, slices
+from logsift.llm.tokens import BYTE_BPE, encoder, lean, slices
 from logsift.session import shared_dir, ship_package
 
 
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 1024, sp
     spark = docs.sparkSession
     ship_package(spark)
     path = shared_dir(spark, "packing")
-    docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, spaces, end_id, size), PIECES).write.parquet(path)
+    docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer_path, spaces, end_id, size)), PIECES).write.parquet(path)
     pieces = spark.read.parquet(path)
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 1024, sp
     bases = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("task_rank"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm.crc import shift
-from logsift.llm.tokens import WORD_BPE, encoder, slices
+from logsift.llm.tokens import WORD_BPE, encoder, lean, slices
 from logsift.session import shared_dir, ship_package
 
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 32, 7, 512
@@ -150,7 +150,7 @@ def _shards(batches):
 def _shard_roots(documents: DataFrame) -> list:
     """One row a shard; its rows are hashed in order within one sorted partition."""
     return sorted(
-        documents.repartition(F.col("pid")).sortWithinPartitions("pid", "local").select("pid", "key", "n").mapInArrow(_shards, "pid int, rows long, ids long, root binary").collect(),
+        documents.repartition(F.col("pid")).sortWithinPartitions("pid", "local").select("pid", "key", "n").mapInArrow(lean(_shards), "pid int, rows long, ids long, root binary").collect(),
         key=lambda r: r.pid,
     )
 
@@ -160,13 +160,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, spaces: bool
     spark = docs.sparkSession
     ship_package(spark)
     store = store or shared_dir(spark, "token-store")
-    staged = docs.select("doc_id", "text").mapInArrow(_stage(tokenizer_path, spaces, end_id), STAGED_DDL)
+    staged = docs.select("doc_id", "text").mapInArrow(lean(_stage(tokenizer_path, spaces, end_id)), STAGED_DDL)
     # a chunk that many documents share meets once per map task: partial aggregation keeps one of each
     unique = staged.groupBy("kind", "key", "uid").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("payload").alias("payload"))
     unique.write.partitionBy("kind").parquet(f"{store}/staged")
     rows = _part(spark, store, 2).select("doc_id", "uid", "key", "n")
     ordered = rows.repartitionByRange(F.col("doc_id"), F.col("uid")).sortWithinPartitions("doc_id", "uid")
-    ordered.mapInArrow(_positions, "doc_id long, uid long, key binary, n long, pid int, local long").write.parquet(f"{store}/documents")
+    ordered.mapInArrow(lean(_positions), "doc_id long, uid long, key binary, n long, pid int, local long").write.parquet(f"{store}/documents")
     shards, start, out = _shard_roots(spark.read.parquet(f"{store}/documents")), 0, []
     for s in shards:
         out.append((s.pid, s.rows, s.ids, start, bytes(s.root)))
@@ -234,7 +234,7 @@ def _shifted(batches):
 
 
 def _entries(spark: SparkSession, store: str) -> DataFrame:
-    return _part(spark, store, 1).select("key", "payload").mapInArrow(_open_recipes, "root binary, chunk binary, seq long, size long, after long")
+    return _part(spark, store, 1).select("key", "payload").mapInArrow(lean(_open_recipes), "root binary, chunk binary, seq long, size long, after long")
 
 
 def read_digests(spark: SparkSession, store: str) -> DataFrame:
@@ -248,8 +248,8 @@ def read_digests(spark: SparkSession, store: str) -> DataFrame:
     for s in _shard_roots(documents):
         if (s.rows, s.ids, s.root) != (manifest[s.pid].rows, manifest[s.pid].ids, manifest[s.pid].root):
             raise ValueError(f"shard {s.pid} doesn't match its manifest")
-    chunks = _part(spark, store, 0).select("key", "n", "payload").mapInArrow(_check_chunks, "chunk binary, crc long")
-    parts = _entries(spark, store).join(chunks, "chunk").mapInArrow(_shifted, "root binary, size long, crc long")
+    chunks = _part(spark, store, 0).select("key", "n", "payload").mapInArrow(lean(_check_chunks), "chunk binary, crc long")
+    parts = _entries(spark, store).join(chunks, "chunk").mapInArrow(lean(_shifted), "root binary, size long, crc long")
     recipes = parts.groupBy("root").agg(F.sum("size").alias("size"), F.expr("bit_xor(crc)").alias("crc"))
     starts = spark.createDataFrame([(p, r.start) for p, r in manifest.items()], "pid int, shard_start long")
     whole = documents.join(F.broadcast(starts), "pid").join(recipes, documents["key"] == recipes["root"], "left")
@@ -274,7 +274,7 @@ def read_ids(spark: SparkSession, store: str) -> DataFrame:
     ship_package(spark)
     chunks = _part(spark, store, 0).select(F.col("key").alias("chunk"), "n", "payload")
     parts = _entries(spark, store).join(chunks, "chunk").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "payload"))).alias("parts"))
-    ids = parts.mapInArrow(_join_ids, "root binary, ids array<long>")
+    ids = parts.mapInArrow(lean(_join_ids), "root binary, ids array<long>")
     documents = spark.read.parquet(f"{store}/documents")
     return documents.join(ids, documents["key"] == ids["root"]).select("doc_id", "uid", "ids")
 

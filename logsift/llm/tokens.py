@@ -8,6 +8,8 @@ white space go to the tokenizer whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
 import numpy as np
@@ -15,6 +17,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 pa.set_memory_pool(pa.system_memory_pool())  # in workers, which import this: memory goes back between batches
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: else it grows, and large arrays stay with the process when they are freed
+    _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+except (AttributeError, OSError):  # another C library
+    _libc = None
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +31,25 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_MARKS = frozenset(".,;:!?")
 
 
+def give_back() -> None:
+    """Returns free memory of this process to the machine."""
+    gc.collect()
+    if _libc and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(run):
+    """A function over batches whose worker gives its memory back when the task ends: workers outlive tasks and stages."""
+
+    def guarded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return guarded
+
+
 def compact(texts: pa.Array) -> pa.Array:
     """A copy as large strings from offset 0, nulls as empty texts: string kernels read a
     cast slice at the wrong place."""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.llm.tokens import slices
+from logsift.llm.tokens import lean, slices
 from logsift.llm.words import split_words
 from logsift.session import ship_package
 
@@ -177,19 +177,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)  # the documented bound of the sample
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    seen = sample.mapInArrow(_learn, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    seen = sample.mapInArrow(lean(_learn), "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     top = seen.where((F.col("kind") == "f") & (F.col("n") >= LEAST_TOXIC)).orderBy(F.desc("n"), "key").limit(MAX_FEATURES * 2)
     toxic = {r.key: r.n for r in top.collect()}
     trigrams = {r.key: r.n for r in seen.where("kind = 't'").orderBy(F.desc("n"), "key").limit(MAX_TRIGRAMS).collect()}
     clean = {}
     if toxic:
-        found = sample.mapInArrow(_clean_counts(frozenset(toxic)), "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        found = sample.mapInArrow(lean(_clean_counts(frozenset(toxic))), "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
         clean = {r.key: r.n for r in found.collect()}  # no more keys than `toxic` has
     counts = dict(sorted(((k, (n, clean.get(k, 0))) for k, n in toxic.items() if bound(n, clean.get(k, 0)) > FLOOR), key=lambda x: (-bound(*x[1]), x[0]))[:MAX_FEATURES])
     model = {"weights": {k: bound(*n) for k, n in counts.items()}, "trigrams": trigrams, "logistic": None}
     if counts:
         without = {1: {k: bound(n - 1, c) if n + c > 1 else FLOOR for k, (n, c) in counts.items()}, 0: {k: bound(n, c - 1) if c else w for (k, (n, c)), w in zip(counts.items(), model["weights"].values())}}
-        rows = sample.mapInArrow(_summaries(model, without), f"label int, {', '.join(f'x{i} double' for i in range(SUMMARY))}").toPandas()  # MAX_LABELLED rows at most
+        rows = sample.mapInArrow(lean(_summaries(model, without)), f"label int, {', '.join(f'x{i} double' for i in range(SUMMARY))}").toPandas()  # MAX_LABELLED rows at most
         rows = rows.sort_values(list(rows.columns)).to_numpy(np.float64)
         model["logistic"] = _logistic(rows[:, 1:], rows[:, 0])
     return model
@@ -376,7 +376,7 @@ def _score(model: dict, column: int, kept: list[int], names: list[str]):
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of docs(doc_id, text)."""
     ship_package(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_score(model, 1, [0], ["doc_id", "score"]), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(_score(model, 1, [0], ["doc_id", "score"])), "doc_id long, score double")
 
 
 def clean_documents(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -386,7 +386,7 @@ def clean_documents(docs: DataFrame, model: dict, threshold: float = THRESHOLD)
     while name in docs.columns:
         name += "_"
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    scored = docs.mapInArrow(_score(model, docs.columns.index("text"), list(range(len(docs.columns))), [*docs.columns, name]), schema)
+    scored = docs.mapInArrow(lean(_score(model, docs.columns.index("text"), list(range(len(docs.columns))), [*docs.columns, name])), schema)
     return scored.where(F.col(name) < threshold).drop(name)
 
 

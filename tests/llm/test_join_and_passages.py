@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from logsift.llm import decontamination as D
-from logsift.llm.jaccard_join import components, divide_skip, first_of_each, parts_of, required, similar_documents, step_of
+from logsift.llm.jaccard_join import components, divide_skip, first_of_each, short_lists, similar_documents
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -62,15 +62,39 @@ def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string"), 3, 90).count() == 0
 
 
-@pytest.mark.parametrize("percent", [50, 80, 90])
-def test_steps_and_parts_cover_all_sizes(percent):
-    for a in range(1, 300):
-        for b in range(a, a * 100 // percent + 1):
-            x, y = step_of(np.array([a, b]), percent)
-            assert y - x in (0, 1)
-            least = required(a, b, percent)
-            if least <= a:
-                assert a + b - 2 * least < parts_of(np.array([y]), percent)[0]
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 50)])
+def test_short_lists_hold_all_links(spark, k, percent):
+    rows = corpus(7)
+    texts = dict((d, t) for d, t in rows)
+    found, classes, lists = short_lists(spark.createDataFrame(rows, "doc_id long, text string"), k, percent)
+    doc_of = {r.node: r.doc_id for r in classes.collect()}
+    by_hash = collections.defaultdict(set)
+    for r in lists.collect():
+        by_hash[r.hash].add(doc_of[r.uid])
+    met = {(x, y) for ids in by_hash.values() for x in ids for y in ids if x < y}
+    sets = {d: shingles(texts[d], k) for d in doc_of.values()}
+    for x in sets:
+        for y in sets:
+            n = len(sets[x] & sets[y])
+            if x < y and sets[x] != sets[y] and 100 * n >= percent * (len(sets[x]) + len(sets[y]) - n):
+                assert (x, y) in met
+
+
+def test_one_id_with_several_texts_and_clashing_names(spark):
+    a, b = "one two three four five six seven", "quite another text that is not like it"
+    rows = [(1, a), (5, a), (5, b), (6, b), (None, a), (None, "a text of its own without any id"), (7, b)]
+    df = spark.createDataFrame([(i, t, *"xyzuvw") for i, t in rows], "doc_id long, text string, _times string, _stays string, _id string, uid string, comp string, text_hash string")
+    got = first_of_each(df, 5, 80)
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "a text of its own without any id"), (1, a), (5, b)]
+
+
+def test_long_texts_and_many_copies(spark):
+    draw = random.Random(5)
+    long = " ".join(draw.choice(WORDS) for _ in range(300_000))
+    group = " ".join(f"g{i}" for i in range(200))
+    rows = [(1, long), (2, long + " end"), *((10 + i, group.replace("g7 ", f"x{i} ") if i % 3 else group) for i in range(300))]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {1: 1, 2: 1, **{10 + i: 10 for i in range(300)}}
 
 
 def test_divide_skip():
