@@ -46,6 +46,7 @@ from logsift.session import local_path, shared_dir, ship_package
 
 FLUSH = 1_000_000  # pairs of shingle and document that a task holds at once
 SHARD_BYTES = 32 << 20  # of input for each shard of hashes
+SPARE = 12  # bits of a hash in lists, over those that count the bytes of the input
 LEAST_BITS = 10  # a set's bitmap has 2^10 bits at least
 CELL, CELL_BYTES = 256, 4 << 20  # rows that ask, and bytes, in one cell of a search
 
@@ -179,16 +180,16 @@ class _Flush:
         self.rows += len(sizes)
         self.pairs += len(sets)
 
-    def out(self, shards: int):
-        """Of each range of hashes the distinct ones with their counts, and for this flush's own use the rows
-        that hold them, in the same order."""
-        h, owner = np.concatenate(self.hashes), np.concatenate(self.owners)
+    def out(self, shards: int, bits: int):
+        """Of each range of hashes, cut to so many bits, the distinct ones with their counts, and for this flush's own use the
+        rows that hold them, in the same order."""
+        h, owner = np.concatenate(self.hashes) >> np.uint64(64 - bits), np.concatenate(self.owners)
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.array([], np.int64)
         times = np.diff(np.append(first, len(h))).astype(np.uint32)
         distinct = h[first]
-        shard = part_of(distinct, shards)
+        shard = part_of(distinct << np.uint64(64 - bits), shards)
         at = np.searchsorted(shard, np.arange(shards + 1))
         used = np.flatnonzero(np.diff(at))
         data = [_planes(np.diff(distinct[at[p] : at[p + 1]], prepend=np.uint64(0)), times[at[p] : at[p + 1]]) for p in used.tolist()]
@@ -197,7 +198,7 @@ class _Flush:
         yield _rows(kind=pa.array([FLUSHED]), flush=pa.array([self.first]), data=pa.array([own], pa.binary()))
 
 
-def _stage(width: int, shards: int):
+def _stage(width: int, shards: int, bits: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -220,10 +221,10 @@ def _stage(width: int, shards: int):
                 held.add(sets[fresh[row]], row[fresh[row]], n)
                 uid += b.num_rows
                 if held.pairs > FLUSH:
-                    yield from held.out(shards)
+                    yield from held.out(shards, bits)
                     held = _Flush(uid)
         if held.pairs:
-            yield from held.out(shards)
+            yield from held.out(shards, bits)
 
     return run
 
@@ -261,7 +262,7 @@ def _lengths(batches):
         for f, a, z in zip(flushes, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
             some = np.flatnonzero(lengths[a:z] > 1)
             if len(some):
-                yield _rows(kind=pa.array([TOLD]), shard=pa.array([shard]), flush=pa.array([f]), data=pa.array([_planes(some.astype(np.uint32), h[a:z][some], lengths[a:z][some])], pa.binary()))
+                yield _rows(kind=pa.array([TOLD]), shard=pa.array([shard]), flush=pa.array([f]), data=pa.array([_planes(np.diff(some.astype(np.uint32), prepend=np.uint32(0)), np.diff(h[a:z][some], prepend=np.uint64(0)), lengths[a:z][some])], pa.binary()))
 
 
 SHORT = "hash long, uid long, times long"
@@ -281,8 +282,8 @@ def _short_lists(percent: int):
             told = [(base[shard], _columns(data, "<u4", "<u8", "<i8")) for kind, shard, _, data in rows if kind == TOLD]
             if not told:
                 continue
-            which = np.concatenate([b + c[0].astype(np.int64) for b, c in told])
-            h, length = (np.concatenate([c[k] for _, c in told]) for k in (1, 2))
+            which = np.concatenate([b + np.cumsum(c[0], dtype=np.int64) for b, c in told])
+            h, length = np.concatenate([np.cumsum(c[1], dtype=np.uint64) for _, c in told]), np.concatenate([c[2] for _, c in told])
             ends = np.cumsum(times, dtype=np.int64)
             many = times[which].astype(np.int64)
             at = np.arange(many.sum()) + np.repeat(ends[which] - times[which] - np.cumsum(many) + many, many)
@@ -567,23 +568,33 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
+def _size(docs: DataFrame) -> int:
+    """Bytes of input as Spark knows them; 2^60 or more if it doesn't."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _shards(docs: DataFrame) -> int:
-    """Shards of hashes: as many as the session's partitions, more where the input (if Spark knows its size) is large for them."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Shards of hashes: as many as the session's partitions, more where the input is large for them."""
+    size = _size(docs)
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0 if size >= 1 << 60 else size // SHARD_BYTES)
 
 
+def _bits(docs: DataFrame) -> int:
+    """So many bits of a hash that one in 2^SPARE meets another by chance, at most; that makes a list longer and no link wrong."""
+    return min(64, max(32, _size(docs).bit_length() + SPARE))
+
+
 def short_lists(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, short lists) of docs(doc_id, text)."""
     spark, shards = docs.sparkSession, _shards(docs)
     staged = shared_dir(spark, "join-staged")
-    cut = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(_stage(width, shards)), STAGED)
+    cut = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(_stage(width, shards, _bits(docs))), STAGED)
     cut.write.partitionBy("kind").parquet(staged)
     read = spark.read.schema(STAGED).parquet(staged)
     rows = read.where(F.col("kind") == DOCUMENT).select("uid", "doc_id", "text_hash", "n", "hi", "lo", "flush", F.col("data").alias("bitmap"))
     one = F.min_by(F.struct("doc_id", "n", "flush", "bitmap"), "uid").alias("of")
     classes = _kept(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("uid").alias("node"), one).select("hi", "lo", "node", "of.*"), "join-classes")
-    lengths = read.where(F.col("kind") == LENGTHS).repartition(shards, "shard").sortWithinPartitions("shard", "flush").mapInArrow(lean(_lengths), STAGED)
+    lengths = read.where(F.col("kind") == LENGTHS).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "flush").mapInArrow(lean(_lengths), STAGED)
     own = read.where(F.col("kind") == FLUSHED).select(*_SCHEMA.names)
     stands = classes.select(*(F.lit(STANDS).alias(c) if c == "kind" else F.col("node").alias(c) if c == "uid" else F.col(c) if c == "flush" else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in STAGED.split(", "))))
     told = own.unionByName(lengths).unionByName(stands).repartition(shards, "flush").sortWithinPartitions("flush", "kind")
