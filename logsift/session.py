@@ -13,10 +13,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+# Bytes of a batch that goes to a Python worker, where the session has Spark's default: executors hold several at a time.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "8m", "67108864b"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they run."""
+    """Make this package importable in Python workers, wherever they run, and keep their batches small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, DEFAULT_BATCH_BYTES) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
