@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 from logsift.llm.tokens import compact
 
@@ -29,8 +28,25 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
 
 
 def hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of words."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+    """64-bit hashes of words: bytes times random odd numbers by place, summed and scrambled, all at once."""
+    words = compact(words)
+    if not len(words):
+        return np.array([], np.uint64)
+    _, bounds, data = words.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[: len(words) + 1]
+    size = np.diff(bounds)
+    text = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data and bounds[-1] else np.array([], np.uint8)
+    with np.errstate(over="ignore"):
+        factor = mix(np.arange(int(size.max()), dtype=np.uint64) + np.uint64(0x51ED270B)) | np.uint64(1)
+        out = size.astype(np.uint64)
+        for a in range(0, len(words), 65_536):  # a bounded number of words at a time
+            z = min(a + 65_536, len(words))
+            s, b = size[a:z], bounds[a : z + 1] - bounds[0]
+            sums = (text[b[0] : b[-1]].astype(np.uint64) + np.uint64(1)) * factor[np.arange(b[-1] - b[0]) - np.repeat(b[:-1] - b[0], s)]
+            full = np.flatnonzero(s)
+            if len(full):
+                out[a:z][full] += np.add.reduceat(sums, (b[:-1] - b[0])[full])
+        return mix(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -171,5 +171,22 @@ def test_blocks_of_items(spark, monkeypatch):
     assert D.find_passages(docs, spark.createDataFrame(items, "item_id long, text string")).count() == 5
 
 
+def test_long_items_ties_and_many_items(spark):
+    draw = random.Random(11)
+    words = [f"v{i}" for i in range(3000)]
+    long = [draw.choice(words) for _ in range(1500)]
+    items = [(0, " ".join(long)), (1, " ".join(long[:9])), (2, " ".join(long[:9]))] + [(10 + i, " ".join(draw.choice(words) for _ in range(draw.randrange(5, 40)))) for i in range(800)]
+    edited = list(long)
+    for _ in range(280):
+        at = draw.randrange(len(edited))
+        edited[at : at + 1] = draw.choice([[], ["new"], [edited[at], "more"]])
+    twice = " ".join(["x", *long[:9], "y", *long[:9]])
+    docs = [(0, "before " + " ".join(edited) + " after"), (1, twice), (2, twice), (3, " ".join(draw.choice(words) for _ in range(50_000))), (None, items[5][1]), (5, None), (6, "")]
+    got = {(r.doc_id, r.item_id): r for r in D.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert distance(long, edited) <= 300 and (0, 0) in got and got[0, 0].distance == distance(long, ["before", *edited, "after"])
+    assert {k for k in got if k[0] in (1, 2)} == {(d, i) for d in (1, 2) for i in (1, 2)} and got[1, 1].start_word == got[1, 2].start_word == 1
+    assert (None, items[5][0]) in got and not any(d in (3, 5, 6) for d, _ in got)
+
+
 def test_counts_of_brute_force_are_not_trivial():
     assert len({c for *_, c in brute(corpus(1), 3, 90)}) < 250 and collections.Counter(t for _, t in corpus(1)).most_common(1)[0][1] > 1
