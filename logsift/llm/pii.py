@@ -8,9 +8,14 @@ that nobody owns, valid check digits where the original has them. The same value
 surrogate everywhere; later bare mentions of a name in a document follow the name. Surrogates
 that meet another or an original value are drawn again until all differ.
 
+Names draw by their value alone, so one name has one surrogate in all documents; its ending goes by the titles it
+stands behind anywhere (men's, women's, both or neither). An initial stays. After collisions names are drawn longer, so
+there are always enough; other formats keep their length and raise an error if they run out.
+
 Texts without personal data are returned as they are and take part in no shuffle. Nulls: a null
-text stays null. Repeated rows are treated alike; other columns are kept. An empty table gives
-no rows.
+text stays null. Empty texts hold nothing; very long ones are treated whole, in one row. Repeated rows are treated alike; ties of
+draws go to the least value. Other columns are kept, whatever their names: the input travels as one struct,
+and the count's name is the caller's. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ from logsift.session import shared_dir
 MALE = ["Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Srta", "Madame", "Mme", "Mademoiselle", "Mlle", "г-жа"]
 NEUTRAL = ["Dr", "Prof"]
-NAME = r"\p{Lu}\p{Ll}+"
-TITLED = rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {NAME}(?:[ \-]{NAME}){{0,2}}(?!\p{{L}})"
+NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{L}*\p{L}(?:['’]\p{L}{2,})?"  # also with inner capitals or an apostrophe
+UPPER = [t.upper() for t in ("Mr", "Mrs", "Dr", "Prof")]  # with a full stop: MS or SR without one is none
+TITLED = rf"(?<!\p{{L}})(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.?|(?:{'|'.join(UPPER)})\.) (?:\p{{Lu}}\. ?){{0,2}}{NAME}(?:[ \-]{NAME}){{0,2}}(?!\p{{L}})"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
 IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
@@ -41,6 +47,10 @@ SYLLABLES = "ba be bi bo da de di do fa fe fi ga ge go ha he ja jo ka ke ki ko l
 ENDINGS = {"given_m": ["n", "r", "s", "k"], "given_f": ["na", "lia", "ra", "ssa"], "given_n": ["x", "nn", "ry", "li"], "family": ["ner", "son", "wald", "mont"]}
 
 
+# Where the parts of a titled name meet.
+BETWEEN = r"[ \-]|(?<=\.)(?=\p{L})"
+
+
 def _hash(*parts: Column) -> Column:
     """A non-negative integer from a keyed hash."""
     return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 13), 16, 10).cast("long")
@@ -71,8 +81,8 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), value), F.lit(0), lambda s, x: s + x)
 
 
-def surrogate(kind: Column, value: Column, seed: Column) -> Column:
-    """The surrogate of a value under a seed of key, kind, value and draw."""
+def surrogate(kind: Column, value: Column, seed: Column, role: Column, draw: Column) -> Column:
+    """The surrogate of a value under a seed of key, kind, value and draw; `role` is the ending of a name."""
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     labels = F.split(domain, r"\.")
     inner = F.when(F.size(labels) > 2, F.concat(_scrambled(F.array_join(F.slice(labels, 1, F.size(labels) - 2), "."), F.concat(seed, F.lit("d"))), F.lit(".example."))).otherwise("example.")
@@ -88,11 +98,12 @@ def surrogate(kind: Column, value: Column, seed: Column) -> Column:
     valid = _luhn_sum(F.regexp_replace(value, r"\D", "")) % 10 == 0
     card = F.when(valid, F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), check.cast("string"))).otherwise(drawn)
     iban = F.concat(F.substring(value, 1, 2), _scrambled(F.substring(value, 3, F.length(value)), seed))
-    syllables = F.concat(*(_pick(SYLLABLES, _hash(seed, F.lit(f"s{k}"))) for k in range(3)))
+    syllables = F.array_join(F.transform(F.sequence(F.lit(1), 3 + F.floor(draw / 3).cast("int")), lambda k: _pick(SYLLABLES, _hash(seed, F.concat(F.lit("s"), k.cast("string"))))), "")
     latin = F.lit(None).cast("string")
     for k, ends in ENDINGS.items():
-        latin = F.when(kind == k, F.concat(syllables, _pick(ends, _hash(seed, F.lit("e"))))).otherwise(latin)
-    name = F.when(value.rlike(r"^\p{IsLatin}+$"), F.initcap(latin)).otherwise(_scrambled(value, seed))
+        latin = F.when(role == k, F.concat(syllables, _pick(ends, _hash(seed, F.lit("e"))))).otherwise(latin)
+    longer = F.concat(value, F.repeat(F.substring(value, -1, 1), F.floor(draw / 3).cast("int")))
+    name = F.when(value.rlike(r"^\p{IsLatin}+$"), F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(latin)).otherwise(F.initcap(latin))).otherwise(_scrambled(longer, seed))
     out = name
     for k, v in (("email", email), ("ip", ip), ("phone", phone), ("card", card), ("ssn", _scrambled(value, seed)), ("iban", iban)):
         out = F.when(kind == k, v).otherwise(out)
@@ -121,73 +132,83 @@ def _titled(value: Column) -> Column:
 
 
 def _names(matches: Column) -> Column:
-    """(kind, value) of the names in titled matches: one name is a family's, of more the first is given."""
+    """(kind, value, role) of the names in titled matches: one name is a family's, of more the first is given."""
     def of(m: Column) -> Column:
-        parts = F.split(F.regexp_replace(m, r"^\S+ ", ""), r"[ \-]")
-        title = _titled(m)
-        given = F.when(title.isin(MALE), "given_m").when(title.isin(FEMALE), "given_f").otherwise("given_n")
-        return F.transform(parts, lambda p, i: F.struct(F.when((i == 0) & (F.size(parts) > 1), given).otherwise("family").alias("kind"), p.alias("value")))
+        parts = F.filter(F.split(F.regexp_replace(m, r"^\S+ ", ""), BETWEEN), lambda p: p.rlike(r"\p{L}['’]?\p{L}") & ~p.contains("."))
+        title = F.lower(_titled(m))
+        is_one = lambda titles: title.isin([t.lower() for t in titles])
+        given = F.when(is_one(MALE), "given_m").when(is_one(FEMALE), "given_f").otherwise("given_n")
+        return F.transform(parts, lambda p, i: F.struct(F.lit("name").alias("kind"), p.alias("value"), F.when((i == 0) & (F.size(parts) > 1), given).otherwise("family").alias("role")))
 
     return F.flatten(F.transform(F.filter(matches, lambda m: _kind(m) == "name"), of))
 
 
-def _found(docs: DataFrame, text: str) -> DataFrame:
-    """Documents with personal data: `_found` is all matches in order, `_pattern` finds them again
-    and bare mentions of names too, `_names` holds the names."""
-    out = docs.where(_has(F.col(text))).withColumn("_names", _names(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    bare = F.array_join(F.array_distinct(F.transform("_names", lambda n: n["value"])), "|")
-    pattern = F.when(F.size("_names") > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), bare, F.lit(r")(?!\p{L})"))).otherwise(PATTERN)
-    return out.withColumn("_pattern", pattern).withColumn("_found", F.regexp_extract_all(F.col(text), F.col("_pattern"), F.lit(0)))
+def _found(docs: DataFrame) -> DataFrame:
+    """Of docs(text, ...) those with personal data: `found` is all matches in order, `pattern` finds them again
+    and bare mentions of names too, `names` holds the names."""
+    out = docs.where(_has(F.col("text"))).withColumn("names", _names(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    bare = F.array_join(F.array_distinct(F.transform("names", lambda n: n["value"])), "|")
+    pattern = F.when(F.size("names") > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), bare, F.lit(r")(?!\p{L})"))).otherwise(PATTERN)
+    return out.withColumn("pattern", pattern).withColumn("found", F.regexp_extract_all(F.col("text"), F.col("pattern"), F.lit(0)))
 
 
 def _entities() -> Column:
-    """Distinct (kind, value) to be replaced in a found document."""
-    plain = F.transform(F.filter("_found", lambda m: _kind(m) != "name"), lambda m: F.struct(_kind(m).alias("kind"), m.alias("value")))
-    return F.array_distinct(F.concat(plain, "_names"))
+    """Distinct (kind, value, role) to be replaced in a found document."""
+    plain = F.transform(F.filter("found", lambda m: _kind(m) != "name"), lambda m: F.struct(_kind(m).alias("kind"), m.alias("value"), F.lit("").alias("role")))
+    return F.array_distinct(F.concat(plain, "names"))
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """entities(kind, value), distinct, with surrogates that differ from each other and from all originals of the kind."""
+    """(kind, value, surrogate) of entities(kind, value, role); the surrogates differ from each other and from all originals of the kind."""
     spark = entities.sparkSession
-    table = entities.withColumn("draw", F.lit(0))
+    entities = entities if "role" in entities.columns else entities.withColumn("role", F.lit(""))
+    is_role = lambda *roles: F.max(F.col("role").isin(*roles))
+    role = F.when(is_role("given_m") & is_role("given_f") | is_role("given_n") & ~is_role("given_m", "given_f"), "given_n").when(is_role("given_m"), "given_m").when(is_role("given_f"), "given_f").otherwise("family")
+    path = shared_dir(spark, "values")
+    entities.groupBy("kind", "value").agg(role.alias("role")).write.parquet(path)
+    values = spark.read.parquet(path)
+    table = values.withColumn("draw", F.lit(0))
     while True:
         seed = F.concat_ws("\x1f", F.lit(key), "kind", "value", F.col("draw").cast("string"))
         path = shared_dir(spark, "surrogates")
-        table.select("kind", "value", "draw", surrogate(F.col("kind"), F.col("value"), seed).alias("surrogate")).write.parquet(path)
+        table.select("kind", "value", "role", "draw", surrogate(F.col("kind"), F.col("value"), seed, F.col("role"), F.col("draw")).alias("surrogate")).write.parquet(path)
         drawn = spark.read.parquet(path)
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("draw", "value")) > 1
-        original = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("taken"))
+        original = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("taken"))
         judged = drawn.withColumn("twice", first).join(original, ["kind", "surrogate"], "left").withColumn("again", F.col("twice") | F.col("taken").isNotNull())
         left = judged.where("again").count()
         if not left:
             return drawn.select("kind", "value", "surrogate")
-        if drawn.agg(F.max("draw")).first()[0] > 60:
+        if drawn.where("kind <> 'name'").agg(F.coalesce(F.max("draw"), F.lit(0))).first()[0] > 60:
             raise ValueError(f"{left} values have no surrogate of their own: a format has too few")
-        table = judged.select("kind", "value", (F.col("draw") + F.col("again").cast("int")).alias("draw"))
+        table = judged.select("kind", "value", "role", (F.col("draw") + F.col("again").cast("int")).alias("draw"))
 
 
-def replace_personal(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with surrogates in `text`, and `n_entities`, how many places were replaced."""
-    spark = docs.sparkSession
-    found = _found(docs, text).withColumn("_text_id", F.sha2(text, 256))
-    in_texts = found.select("_text_id", F.explode(_entities()).alias("e")).select("_text_id", "e.kind", "e.value").distinct()
+def replace_personal(docs: DataFrame, key: str, text: str = "text", count: str | None = "n_entities") -> DataFrame:
+    """docs with surrogates in `text`, and in a last column `count` how many places were replaced (None: no such column)."""
+    if count is not None and count in docs.columns:
+        raise ValueError(f"the input has a column {count}; give the count another name")
+    spark, quoted = docs.sparkSession, [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = docs.select(F.struct(*quoted).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = _found(rows).withColumn("text_id", F.sha2("text", 256))
     path = shared_dir(spark, "entities")
-    in_texts.write.parquet(path)
+    found.select("text_id", F.explode(_entities()).alias("e")).select("text_id", "e.*").distinct().write.parquet(path)
     in_texts = spark.read.parquet(path)
-    table = surrogate_table(in_texts.select("kind", "value").distinct(), key)
-    maps = in_texts.join(table, ["kind", "value"]).groupBy("_text_id").agg(F.collect_list(F.struct("value", "surrogate")).alias("_pairs"))
-    maps = maps.select("_text_id", F.map_from_entries(F.expr("array_sort(filter(_pairs, (x, i) -> i = 0 or not exists(slice(_pairs, 1, i), y -> y.value = x.value)))")).alias("_map"))
+    table = surrogate_table(in_texts, key)
+    maps = in_texts.select("text_id", "kind", "value").distinct().join(table, ["kind", "value"]).groupBy("text_id").agg(F.collect_list(F.struct("value", "surrogate")).alias("pairs"))
+    maps = maps.select("text_id", F.map_from_entries(F.expr("array_sort(filter(pairs, (x, i) -> i = 0 or not exists(slice(pairs, 1, i), y -> y.value = x.value)))")).alias("map"))
 
     def new(m: Column) -> Column:
         parts = F.regexp_replace(m, r"^\S+ ", "")
-        gaps = F.regexp_extract_all(parts, F.lit(r"[ \-]"), F.lit(0))
-        names = F.transform(F.split(parts, r"[ \-]"), lambda p, i: F.concat(F.coalesce(F.element_at("_map", p), p), F.coalesce(F.get(gaps, i), F.lit(""))))
+        gaps = F.regexp_extract_all(parts, F.lit(BETWEEN), F.lit(0))
+        names = F.transform(F.split(parts, BETWEEN), lambda p, i: F.concat(F.coalesce(F.element_at("map", p), p), F.coalesce(F.get(gaps, i), F.lit(""))))
         titled = F.concat(F.regexp_extract(m, r"^\S+ ", 0), F.array_join(names, ""))
-        return F.coalesce(F.element_at("_map", m), titled)
+        return F.coalesce(F.element_at("map", m), titled)
 
-    replaced = F.array_join(F.zip_with(F.split(F.col(text), F.col("_pattern"), -1), F.transform("_found", new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = found.join(maps, "_text_id").select(*[replaced.alias(c) if c == text else F.col(c) for c in docs.columns], F.size("_found").cast("long").alias("n_entities"))
-    return docs.where(~_has(F.col(text))).withColumn("n_entities", F.lit(0).cast("long")).unionByName(done)
+    replaced = F.array_join(F.zip_with(F.split(F.col("text"), F.col("pattern"), -1), F.transform("found", new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    done = found.join(maps, "text_id", "left").select("row", replaced.alias("text"), F.size("found").cast("long").alias("n"))
+    both = rows.where(~_has(F.col("text"))).withColumn("n", F.lit(0).cast("long")).unionByName(done)
+    return both.select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns), *([F.col("n").alias(count)] if count else []))
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -152,7 +153,7 @@ PRIVATE = [
 
 
 def test_personal_data(spark):
-    docs = spark.createDataFrame([(*r, "c") for r in PRIVATE], "doc_id long, text string, n_entities string").drop("n_entities")
+    docs = spark.createDataFrame([(*r, "c") for r in PRIVATE], "doc_id long, text string, map string")
     got = sorted(((r.doc_id, r.text) for r in pii.replace_personal(docs, "key").collect()), key=repr)
     again = sorted(((r.doc_id, r.text) for r in pii.replace_personal(docs.repartition(3), "key").collect()), key=repr)
     assert got == again != sorted(((r.doc_id, r.text) for r in pii.replace_personal(docs, "other").collect()), key=repr)
@@ -169,6 +170,43 @@ def test_personal_data(spark):
     assert pii.replace_personal(docs.where("1 = 0"), "key").count() == 0
 
 
+def test_names_of_one_person_across_documents(spark):
+    texts = ["Mr. Martin Keller came.", "Then Mr. Martin left, and Martin slept.", "Mrs. Keller and Dr. Martin", "Mr. McDonald, Mrs. O'Brien; O'Brien", "Dr. J. Smith and Dr. J.Smith", "MR. SMITH", "MS Word, SR Flip", "г-н Ли", "x" * 300_000 + " Mr. Martin", None, ""]
+    names = ["row", "names", "found", "pattern", "text_id", "kind", "value", "_map", "n", "a.b"]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in enumerate(texts)], ", ".join(f"`{c}` string" if k > 1 else c for k, c in enumerate(["doc_id long", "text string", *names])))
+    out = pii.replace_personal(docs, "k", count="how many")
+    assert out.columns == [*docs.columns, "how many"] and out.where("`a.b` = 'a.b' and row = 'row' and n = 'n'").count() == len(texts)
+    got = {r.doc_id: r.text for r in out.collect()}
+    martin, keller = got[0].removeprefix("Mr. ").removesuffix(" came.").split()
+    assert got[1] == f"Then Mr. {martin} left, and {martin} slept." and got[2] == f"Mrs. {keller} and Dr. {martin}" and got[8].endswith(f" Mr. {martin}") and len({martin, keller, "Martin", "Keller"}) == 4
+    assert "McDonald" not in got[3] and "Brien" not in got[3] and got[3].split()[3].rstrip(";") == got[3].split()[4]
+    assert got[4].split()[:2] == ["Dr.", "J."] and "Smith" not in got[4] and got[4].split()[2] == got[4].split()[5].removeprefix("J.")
+    assert got[5] != texts[5] and got[5].isupper() and got[6] == texts[6] and got[7] != texts[7] and got[9] is None and got[10] == ""
+    with pytest.raises(ValueError):
+        pii.replace_personal(docs, "k", count="n")
+
+
+def brute_surrogates(spark, rows, key):
+    """The same rules one document at a time, for e-mail addresses and titled Latin names: values meet values."""
+    import re
+
+    new = {(r.doc_id, i): t for r in pii.replace_personal(spark.createDataFrame(rows, "doc_id long, text string"), key).collect() for i, t in enumerate(r.text.split())}
+    old = {(d, i): t for d, x in rows for i, t in enumerate(x.split())}
+    private = {w for t in old.values() if "@" in t for w in [t]} | {w for _, x in rows for m in re.findall(r"(?:Mr|Mrs|Dr)\. ((?:[A-Z][a-z]+ ?)+)", x) for w in m.split()}
+    pairs = {(old[k], new[k]) for k in old}
+    return private, pairs
+
+
+def test_surrogates_are_a_one_to_one_map(spark):
+    draw = random.Random(4)
+    names = ["".join(draw.choice("abcdefghij") for _ in range(5)).title() for _ in range(60)]
+    rows = [(i, f"see Mr. {draw.choice(names)} {draw.choice(names)} and Mrs. {draw.choice(names)} at {draw.choice(names).lower()}@x{draw.randrange(9)}.org now") for i in range(300)]
+    private, pairs = brute_surrogates(spark, rows, "k")
+    assert len(dict(pairs)) == len(pairs) == len({b for _, b in pairs})  # one surrogate a value, one value a surrogate
+    assert all((a != b) == (a in private) for a, b in pairs)
+    assert not {b for a, b in pairs if a in private} & private
+
+
 def test_surrogates_differ_even_in_a_small_format(spark):
     values = [("ssn", f"{a:03d}-00-{b:04d}") for a in range(3) for b in range(800)]
     table = pii.surrogate_table(spark.createDataFrame(values, "kind string, value string"), "k").collect()
