@@ -69,6 +69,7 @@ def cuts(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 _ENTRY = np.dtype([("key", "V16"), ("n", "<u4")])
 STAGED = pa.schema([("kind", pa.int8()), ("key", pa.binary()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
+DOCUMENTS = "doc_id long, uid long, key binary, n long, pid int, local long"
 STAGED_DDL = "kind tinyint, key binary, uid long, doc_id long, n long, payload binary"
 
 
@@ -166,7 +167,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, spaces: bool
     unique.write.partitionBy("kind").parquet(f"{store}/staged")
     rows = _part(spark, store, 2).select("doc_id", "uid", "key", "n")
     ordered = rows.repartitionByRange(F.col("doc_id"), F.col("uid")).sortWithinPartitions("doc_id", "uid")
-    ordered.mapInArrow(lean(_positions), "doc_id long, uid long, key binary, n long, pid int, local long").write.parquet(f"{store}/documents")
+    ordered.mapInArrow(lean(_positions), DOCUMENTS).write.parquet(f"{store}/documents")
     shards, start, out = _shard_roots(spark.read.parquet(f"{store}/documents")), 0, []
     for s in shards:
         out.append((s.pid, s.rows, s.ids, start, bytes(s.root)))
@@ -237,17 +238,29 @@ def _entries(spark: SparkSession, store: str) -> DataFrame:
     return _part(spark, store, 1).select("key", "payload").mapInArrow(lean(_open_recipes), "root binary, chunk binary, seq long, size long, after long")
 
 
+def _verified(spark: SparkSession, store: str) -> tuple[DataFrame, dict]:
+    """The store's documents and its manifest by shard; raises where a shard is lost, foreign or damaged."""
+    manifest = {r.pid: r for r in spark.read.parquet(f"{store}/manifest").collect()}
+    documents = spark.read.schema(DOCUMENTS).parquet(f"{store}/documents")
+    shards, start = {s.pid: s for s in _shard_roots(documents)}, 0
+    if missing := sorted(shards.keys() ^ manifest.keys()):
+        raise ValueError(f"shards {missing} are in the manifest or among the documents, but not in both")
+    for pid, s in shards.items():
+        if (s.rows, s.ids, s.root, start) != (manifest[pid].rows, manifest[pid].ids, manifest[pid].root, manifest[pid].start):
+            raise ValueError(f"shard {pid} doesn't match its manifest")
+        start += s.ids
+    if any(r.store_root != digest(b"".join(bytes(s.root) for s in shards.values())) for r in manifest.values()):
+        raise ValueError("the manifest's root isn't that of its shards")
+    return documents, manifest
+
+
 def read_digests(spark: SparkSession, store: str) -> DataFrame:
     """Verifies the whole store and returns (doc_id, start, n_tokens, ids_crc32, root).
 
     Each stored chunk is read once, checked against its digest and summed; a document's checksum
     is put together from those of its chunks, so no payload is moved."""
     ship_package(spark)
-    manifest = {r.pid: r for r in spark.read.parquet(f"{store}/manifest").collect()}
-    documents = spark.read.parquet(f"{store}/documents")
-    for s in _shard_roots(documents):
-        if (s.rows, s.ids, s.root) != (manifest[s.pid].rows, manifest[s.pid].ids, manifest[s.pid].root):
-            raise ValueError(f"shard {s.pid} doesn't match its manifest")
+    documents, manifest = _verified(spark, store)
     chunks = _part(spark, store, 0).select("key", "n", "payload").mapInArrow(lean(_check_chunks), "chunk binary, crc long")
     parts = _entries(spark, store).join(chunks, "chunk").mapInArrow(lean(_shifted), "root binary, size long, crc long")
     recipes = parts.groupBy("root").agg(F.sum("size").alias("size"), F.expr("bit_xor(crc)").alias("crc"))
@@ -275,8 +288,9 @@ def read_ids(spark: SparkSession, store: str) -> DataFrame:
     chunks = _part(spark, store, 0).select(F.col("key").alias("chunk"), "n", "payload")
     parts = _entries(spark, store).join(chunks, "chunk").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "payload"))).alias("parts"))
     ids = parts.mapInArrow(lean(_join_ids), "root binary, ids array<long>")
-    documents = spark.read.parquet(f"{store}/documents")
-    return documents.join(ids, documents["key"] == ids["root"]).select("doc_id", "uid", "ids")
+    documents, _ = _verified(spark, store)
+    whole = documents.join(ids, documents["key"] == ids["root"], "left")
+    return whole.select("doc_id", "uid", F.when(F.size("ids").eqNullSafe(F.col("n").cast("int")), F.col("ids")).otherwise(F.raise_error(F.lit("a document's chunks are missing")).cast("array<bigint>")).alias("ids"))
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +92,38 @@ def test_damage_is_found(spark):
         read_digests(spark, store).collect()
 
 
+def test_lost_shards_and_chunks_are_found(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 30) for i in range(200)], "doc_id long, text string").repartition(4)
+    for folder, kept in (("documents", ""), ("staged/kind=0", "")):
+        store = write_store(docs, public_tokenizers.path(WORD_BPE), end_id=1)
+        assert read_digests(spark, store).count() == read_ids(spark, store).count() == 200
+        files = sorted(Path(store.removeprefix("file://")).glob(f"{folder}/part-*"), key=lambda f: -f.stat().st_size)
+        files[0].unlink()
+        for read in (read_digests, read_ids):
+            with pytest.raises(Exception, match="shards|missing|match"):
+                read(spark, store).collect()
+
+
+def test_every_piece_has_its_place(spark):
+    draw = np.random.default_rng(2)
+    docs = [(int(i), " ".join(draw.choice(["a", "word", "Größe", "x1", "?!"], draw.integers(0, 900)))) for i in range(150)]
+    rows = pack(spark.createDataFrame(docs, "doc_id long, text string"), public_tokenizers.path(BYTE_BPE), end_id=2).collect()
+    tokenizer, sequences = Tokenizer.from_file(public_tokenizers.path(BYTE_BPE)), {}
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in docs}
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) == best_fit([r.length for r in rows], 1024)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert read_digests(spark, write_store(docs, public_tokenizers.path(WORD_BPE), end_id=1)).count() == 0
