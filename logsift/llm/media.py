@@ -4,7 +4,8 @@
 grey PNG, 192 to a line, in archives of the `mediapack` format: members one after the
 other, then a directory (id, place, length and CRC of each member), then an index of the
 directory by blocks of bytes, then a fixed footer. Each write task makes one archive under a name of its
-own; an archive counts only once the driver has committed the list of all of them.
+own; an archive counts only once the driver has committed a list that names it. A list is a file of its own, so
+writes that append leave each other alone, and one that overwrites replaces all lists.
 
 `spark.read.format("mediapack")` reads the committed list and the footers' indexes (not
 the members' entries) and plans partitions of whole blocks, of about `rangeBytes` each. A task
@@ -88,9 +89,19 @@ class Range(InputPartition):
         self.path, self.first, self.last, self.directory = path, first, last, directory
 
 
+def _lists(path: str) -> list[str]:
+    """The committed lists of archives."""
+    return sorted(f for f in os.listdir(path) if f.startswith("archives-") and f.endswith(".json"))
+
+
+def _names(path: str, name: str) -> list[str]:
+    with open(f"{path}/{name}") as f:
+        return json.load(f)
+
+
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator):
         name = f"{uuid.uuid4().hex}.mpk"
@@ -116,9 +127,14 @@ class MediaWriter(DataSourceArrowWriter):
     def commit(self, messages):
         names = sorted(m.name for m in messages if m)
         os.makedirs(self.path, exist_ok=True)
-        with open(part := f"{self.path}/.archives", "w") as f:
+        old = _lists(self.path) if self.overwrite else []
+        gone = [n for f in old for n in _names(self.path, f)]
+        name = f"archives-{uuid.uuid4().hex}.json"
+        with open(part := f"{self.path}/.{name}", "w") as f:
             json.dump(names, f)
-        os.replace(part, f"{self.path}/archives.json")
+        os.replace(part, f"{self.path}/{name}")
+        for f in [*old, *gone]:
+            os.remove(f"{self.path}/{f}")
 
     def abort(self, messages):
         for m in messages:
@@ -131,10 +147,8 @@ class MediaReader(DataSourceReader):
         self.path, self.range_bytes = path, range_bytes
 
     def partitions(self):
-        with open(f"{self.path}/archives.json") as f:
-            names = json.load(f)
         out = []
-        for name in names:
+        for name in [n for f in _lists(self.path) for n in _names(self.path, f)]:
             with open(path := f"{self.path}/{name}", "rb") as f:
                 f.seek(-FOOTER_BYTES, os.SEEK_END)
                 directory, index, count, magic = struct.unpack(FOOTER, f.read(FOOTER_BYTES))
@@ -208,16 +222,16 @@ class MediaPack(DataSource):
         return MediaReader(self.options["path"], int(self.options.get("rangeBytes", 16 << 20)))
 
     def writer(self, schema, overwrite):
-        return MediaWriter(self.options["path"])
+        return MediaWriter(self.options["path"], overwrite)
 
 
-def write_media(docs: DataFrame, path: str | None = None) -> str:
-    """Writes archives of docs(doc_id, text); returns their folder."""
+def write_media(docs: DataFrame, path: str | None = None, mode: str = "append") -> str:
+    """Writes archives of docs(doc_id, text), beside those that are there or (mode "overwrite") in their place; returns their folder."""
     spark = docs.sparkSession
     ship_package(spark)
     spark.dataSource.register(MediaPack)
     path = local_path(path or shared_dir(spark, "media"))
-    docs.select("doc_id", "text").write.format("mediapack").mode("append").save(path)
+    docs.select("doc_id", "text").write.format("mediapack").mode(mode).save(path)
     return path
 
 
