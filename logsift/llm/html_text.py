@@ -18,6 +18,7 @@ kept. Unclosed, crossed and cut-off tags never fail. Repeated pages get a row ea
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -43,16 +44,20 @@ BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner
 FOREIGN = frozenset("ad ads advert adverts advertisement advertising captcha comment comments commentlist consent cookie cookies disqus gdpr hidden login newsletter reply respond".split())
 LAYOUT = frozenset("site page main global top bottom left right center upper lower primary secondary fixed sticky first second third inner outer wrap wrapper container box block area section region row column col panel bar list item items group holder slot unit zone inline mobile desktop link links button buttons icon icons title heading text body bg overlay the and of for by js id my wp m u l r".split())
 OF_ARTICLES = frozenset("article articles post posts entry story stories news blog content product products topic topics thread form media network networks google dfp facebook twitter count counter meta info message messages signup nav tags cloud sub".split())
+TO_THE_END = frozenset("script style textarea title".split())  # without an end tag all that follows is theirs
+BLOCK = re.compile(rf"<(?:{'|'.join(sorted(CLOSES_P | PARAGRAPH))})[\s/>]", re.IGNORECASE)
 HEADER_WORDS = frozenset(("header", "topbar"))
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 2.0, "td": 1.0, "body": 0.0, "html": 0.0}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "chars", "links", "out", "marked", "kids", "prose")
+    __slots__ = ("tag", "parent", "score", "chars", "links", "out", "marked", "kids", "prose", "in_header", "in_article")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, marked: str = ""):
         self.tag, self.parent, self.out, self.marked = tag, parent, out, marked
         self.score, self.chars, self.links, self.kids, self.prose = 0.0, 0, 0, [], False
+        self.in_header = tag == "header" or bool(parent) and parent.in_header
+        self.in_article = tag in ("article", "main") or bool(parent) and parent.in_article
 
     def linked(self) -> bool:
         return self.links * 2 >= self.chars > 0
@@ -70,12 +75,8 @@ def _leaves_out(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
     """Whether an element and all in it is no part of an article for certain, and by what its names mark it as such."""
     if parent.out or tag in OUT:
         return True, ""
-    if tag == "header":
-        at = parent
-        while at and at.tag not in ("article", "main"):
-            at = at.parent
-        if not at:
-            return True, ""
+    if tag == "header" and not parent.in_article:
+        return True, ""
     marked = ""
     if not attributes.strip() or tag in ("html", "body"):
         return False, ""
@@ -120,6 +121,13 @@ def _parse(html: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
     nodes, stack, blocks = [root], [root], []
     text: list[str] = []
     links, depth, end = 0, 0, len(html)
+    tags, unclosed = Counter(), set()  # open elements by tag; tags that no end tag follows any more
+
+    def end_of(tag: str, at: int):
+        found = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
+        if not found:
+            unclosed.add(tag)
+        return found
 
     def flush():
         nonlocal links
@@ -141,9 +149,12 @@ def _parse(html: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
                 links += len(raw)
 
     def close(names, stop=()):
+        if not any(tags[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
                 flush()
+                tags.subtract(n.tag for n in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in stop:
@@ -176,15 +187,19 @@ def _parse(html: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
                 text.append(" " if tag == "br" else "")
             continue
         if tag in RAW:
-            if not m[3].endswith("/") or tag in ("script", "style", "textarea", "title"):
-                found = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-                at = found.end() if found else end
+            if not m[3].endswith("/") or tag in TO_THE_END:
+                if found := end_of(tag, at):
+                    at = found.end()
+                elif tag in TO_THE_END:
+                    at = end
+                elif found := BLOCK.search(html, at):  # not closed: it ends where the next block begins
+                    at = found.start()
             if tag not in ("script", "style"):
                 text.append(" ")
             continue
         if tag in INLINE:
             if m[3] and any(_leaves_out(tag, m[3], stack[-1])) and not stack[-1].out and tag != "a":  # an inline advert
-                found = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
+                found = end_of(tag, at)
                 at = found.end() if found else at
             elif tag == "a":
                 depth = 1
@@ -203,25 +218,18 @@ def _parse(html: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
         stack[-1].kids.append(node)
         nodes.append(node)
         stack.append(node)
+        tags[tag] += 1
     flush()
     return blocks, nodes
 
 
-def _article_header(node: Node) -> bool:
-    while node:
-        if node.tag == "header":
-            return True
-        node = node.parent
-    return False
-
-
 def main_text(html: str | None) -> str:
     """The blocks of the article, one a line."""
     if not html:
         return ""
     blocks, nodes = _parse(html)
     _judge(blocks, nodes)
-    kept = [(n, links, x) for n, links, x in blocks if not n.out and (n.tag in HEADINGS or not _article_header(n))]
+    kept = [(n, links, x) for n, links, x in blocks if not n.out and (n.tag in HEADINGS or not n.in_header)]
     if not kept:
         return ""
     for n in reversed(nodes):  # children come after their parents
@@ -251,16 +259,10 @@ def main_text(html: str | None) -> str:
             best, top = n, score
     whole, own = _article(best or nodes[0])
 
-    def inside(n: Node, links: int, text: str) -> bool:
-        if id(n) in own:
-            return links * 2 < len(text)
-        while n:
-            if id(n) in whole:
-                return True
-            n = n.parent
-        return False
-
-    return "\n".join(text for n, links, text in kept if inside(n, links, text))
+    for n in nodes:  # parents come before their children
+        if n.parent and id(n.parent) in whole and id(n) not in own:
+            whole.add(id(n))
+    return "\n".join(text for n, links, text in kept if (links * 2 < len(text) if id(n) in own else id(n) in whole))
 
 
 def _article(best: Node) -> tuple[set[int], set[int]]:
