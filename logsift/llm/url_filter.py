@@ -3,13 +3,15 @@
 Per host, paths become lists of segments whose digits and long hexadecimal ids are wildcards.
 The tree is then walked level by level: segments of a node with very many rare children become
 a wildcard, and children whose labels don't differ significantly from those of their
-labelled siblings are merged into one. Labels are the verdicts of rules; a template is rejected when its
+labelled siblings are merged into one; from the DEPTH-th on segments are taken as one. Labels are the verdicts of rules; a template is rejected when its
 smoothed share of blocked labels reaches REJECT. A url without a rule takes the verdict of
 its template, and one whose template has no labels is allowed.
 
 All work on the tree is on distinct (host, template) counts; pages meet it again in one join,
 which Spark splits where one host holds much of the table. Nulls: a null url or one without
-`://` has empty host and path; a null page_id is kept. Repeated rows are judged each. An empty table gives no rows.
+`://` has empty host and path; a null page_id is kept. Repeated rows are judged each, ties of rules go to the later
+by host and path. Very long urls are judged whole. Only page_id and url are read, so other columns can't clash.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 MANY, RARE, Z, PRIOR, WEIGHT, REJECT, LEAST = 50, 3.0, 2.0, 0.25, 4.0, 0.5, 5
+DEPTH = 64  # segments of a path; what follows counts as part of the last
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,17 +52,22 @@ def _generalised(segment: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(segment, r"^[0-9a-fA-F-]{16,}$", "*"), r"[0-9]+", "*")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _templates(seen: DataFrame) -> DataFrame:
-    """seen(host, template, n, blocked, allowed) with `final`, the template after merging."""
-    spark = seen.sparkSession
-    tree = seen.withColumn("segments", F.split("template", "/")).withColumn("final", F.lit(""))
-    depth = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for k in range(depth):
+    """seen(host, template, n, blocked, allowed) with `final`, the template after merging. Each level is written, so
+    plans don't grow; a template that is alone below its node keeps its rest, so levels end where no two share a node."""
+    tree, done = seen.withColumns({"segments": F.split("template", "/", DEPTH), "final": F.lit("")}), None
+    for k in range(DEPTH):
         at = tree.withColumn("segment", F.get("segments", F.lit(k)))
-        kids = at.where(F.col("segment").isNotNull()).groupBy("host", "final", "segment").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
+        kids = _kept(at.groupBy("host", "final", "segment").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.count("*").alias("left")), "url-kids")
         labelled = F.when(F.col("b") + F.col("a") >= LEAST, 1).otherwise(0)
-        parents = kids.groupBy("host", "final").agg(
-            F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.sum("a").alias("all_a"), F.sum(labelled).alias("known")
+        parents = kids.where("segment is not null").groupBy("host", "final").agg(
+            F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.sum("a").alias("all_a"), F.sum(labelled).alias("known"), F.sum("left").alias("below")
         )
         j = kids.join(parents, ["host", "final"])
         own, rest = F.col("b") + F.col("a"), F.col("all_b") + F.col("all_a") - F.col("b") - F.col("a")
@@ -68,15 +76,17 @@ def _templates(seen: DataFrame) -> DataFrame:
         alike = F.abs(p - q) <= Z * F.sqrt(both * (1 - both) * (1 / (own + 2) + 1 / (rest + 2)))
         variable = (F.col("kids") > MANY) & (F.col("n") <= RARE * F.col("all_n") / F.col("kids"))
         merged = (F.col("known") > 1) & (own >= LEAST) & (rest >= LEAST) & alike
-        to = j.select("host", "final", "segment", F.when(variable | merged, "*").otherwise(F.col("segment")).alias("to"))
-        tree = at.join(to, ["host", "final", "segment"], "left").withColumn(
-            "final", F.when(F.col("to").isNull(), F.col("final")).otherwise(F.concat("final", F.lit("/" if k else ""), "to"))
-        ).drop("segment", "to")
-        if k % 4 == 3:  # plans of deep trees stay short
-            path = shared_dir(spark, "url-tree")
-            tree.write.parquet(path)
-            tree = spark.read.parquet(path)
-    return tree.drop("segments")
+        to = j.select("host", "final", "segment", F.when(variable | merged, "*").otherwise(F.col("segment")).alias("to"), (F.col("below") == 1).alias("alone"))
+        slash = F.lit("/" if k else "")
+        tail = F.array_join(F.slice("segments", k + 1, DEPTH), "/")
+        final = F.when(F.col("segment").isNull(), F.col("final")).when(F.col("alone"), F.concat("final", slash, tail)).otherwise(F.concat("final", slash, "to"))
+        after = at.join(to, ["host", "final", "segment"], "left").select(*seen.columns, "segments", final.alias("final"), (F.col("segment").isNull() | F.col("alone")).alias("ended"))
+        after = _kept(after, "url-tree")
+        done = after if done is None else done.where("ended").unionByName(after)
+        tree = after.where("not ended").drop("ended")
+        if not tree.limit(1).count():
+            break
+    return done.drop("segments", "ended")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -66,7 +67,7 @@ def test_media_round_trip(spark):
 def test_media_damage_is_found_and_lists_are_trusted(spark):
     docs = spark.createDataFrame([(i, f"text {i}" * 50) for i in range(20)], "doc_id long, text string").coalesce(1)
     path = media.write_media(docs)
-    (name,) = __import__("json").load(open(f"{path}/archives.json"))
+    (name,) = (n for f in media._lists(path) for n in media._names(path, f))
     open(f"{path}/stray.mpk", "wb").write(b"not listed")
     assert media.read_media(spark, path).count() == 20
     with open(f"{path}/{name}", "r+b") as f:
@@ -84,6 +85,46 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1
 <aside><p>Related, stories, and, many, more, commas, here, to, fool, us</p></aside><section id="comments"><p>I, like, this, very, much, indeed, yes, so, much</p></section><footer>&copy; me</footer></body></html>"""
 
 
+def test_media_writes_append_or_replace(spark):
+    path = media.write_media(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string"))
+    media.write_media(spark.createDataFrame([(3, "three")], "doc_id long, text string"), path)
+    ids = lambda: sorted(r.doc_id for r in media.read_media(spark, path).collect())
+    assert ids() == [1, 2, 3]
+    media.write_media(spark.createDataFrame([(4, "four")], "doc_id long, text string"), path, mode="overwrite")
+    assert ids() == [4]
+
+
+def test_media_members_are_tried_again(tmp_path):
+    import io
+
+    good = b"x" * 100
+    (tmp_path / "a.mpk").write_bytes(b"head" + good)
+
+    class Flaky(io.BytesIO):
+        def read(self, n=-1):
+            raise OSError("lost")
+
+    assert media.MediaReader._member(Flaky(), str(tmp_path / "a.mpk"), 4, 100, zlib.crc32(good)) == good
+    with pytest.raises(OSError):
+        media.MediaReader._member(Flaky(), str(tmp_path / "a.mpk"), 4, 100, 1, tries=1)
+
+
+def test_media_features_are_those_of_the_samples(spark):
+    texts = ["abc", "é" * 500, "", "word " * 400]
+    got = {r.n_bytes: r.feature for r in media.media_features(media.read_media(spark, media.write_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))).collect()}
+    for t in texts:
+        x = t.encode()
+        x += b" " * (-len(x) % 192 if x else 192)
+        mean = sum(x) / len(x)
+        sd = math.sqrt(sum((b - mean) ** 2 for b in x) / len(x))
+        entropy = -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values())
+        sums = [sum(x[c::192]) for c in range(0, 192, 3)]
+        bits = "".join("01"[b > a] for a, b in zip(sums, sums[1:])).ljust(64, "0")
+        values = dict(f.split("=") for f in got[len(t.encode())].split(";"))
+        assert abs(float(values["mean"]) - mean) < 1e-3 and abs(float(values["sd"]) - sd) < 1e-3 and abs(float(values["entropy"]) - abs(entropy)) < 1e-3
+        assert int(values["slope"], 16) == int(bits, 2)
+
+
 def test_html():
     assert main_text(PAGE) == "Title & more\nFirst, paragraph with bold and a link, and commas, long enough.\nSecond one, that is unclosed, with a few more words in it."
     assert [main_text(x) for x in (None, "", "<p>", "plain", "<p>Short", "<div><p>a</div><!-- <p>b", "&amp", "<p>cut <a hre")] == ["", "", "", "plain", "Short", "a", "&", "cut"]
@@ -118,6 +159,26 @@ def test_html_wrappers_named_like_boilerplate():
     assert main_text(f"<div class=sidebar-layout><div class=sidebar>{ps}</div></div><div id=comments>{many}</div><div class=comments><article>{many}</article></div>").split("\n") == body
 
 
+def test_html_elements_that_never_close():
+    for tag in ("svg", "object", "iframe", "noscript", "canvas", "select", "math", "template", "xmp"):
+        got = main_text(f"<body><article><p>First, with commas, and so on.<{tag} class=x><p>Second, with commas, and so on.</article>").split("\n")
+        assert got == ["First, with commas, and so on.", "Second, with commas, and so on."], tag
+    for tag in ("script", "style", "textarea", "title"):
+        assert main_text(f"<article><p>First, with commas, and so on.</p><{tag}><p>Second, of more.</p></article>") == "First, with commas, and so on.", tag
+
+
+def test_html_deep_and_long_pages_take_linear_time():
+    def took(n: int, page) -> float:
+        began = time.process_time()
+        main_text(page(n))
+        return time.process_time() - began
+
+    for page in (lambda n: "<div>" * n + "<p>Some, text, here.</p></i></em>" * 50 + "x</section>" * n, lambda n: "<article>" + "<svg><p>Some, text of it.</p>" * n, lambda n: "<div><header>" * n + "<p>Words, and words.</p>" * n):
+        took(500, page)
+        assert took(8000, page) < 0.5 + 12 * took(1000, page)
+    assert main_text("<article><p>" + "word, " * 300_000 + "</p></article>").count("word,") == 300_000
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 9), (1, "u", PAGE, 9), (None, None, None, 1)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.n_chars, r.page_id or 0) for r in extract(pages).collect()) == [(0, 0), (len(main_text(PAGE)), 1), (len(main_text(PAGE)), 1)]
@@ -145,6 +206,75 @@ def test_url_templates(spark):
     assert got.where("path like '/user/%'").select("template").distinct().count() == 1  # many rare children: a wildcard
 
 
+def brute_verdicts(pages, rules):
+    """The template tree by recursion, in plain Python."""
+    seen, rows = defaultdict(lambda: [0, 0, 0]), []
+    for page_id, url in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h, p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fits, default=None)
+        template = "/".join(re.sub("[0-9]+", "*", re.sub("^[0-9a-fA-F-]{16,}$", "*", x)) for x in path.split("/"))
+        rows.append((page_id, host, path, rule and rule[1] + rule[2], rule and rule[3], template))
+        n = seen[host, template]
+        n[0] += 1
+        n[1] += bool(rule) and rule[3] == "block"
+        n[2] += bool(rule) and rule[3] == "allow"
+    now = {k: ("", k[1].split("/")) for k in seen}
+    for k in range(max((len(x) for _, x in now.values()), default=0)):
+        kids = defaultdict(lambda: [0, 0, 0])
+        for key, (final, parts) in now.items():
+            if k < len(parts):
+                kids[key[0], final, parts[k]] = [a + b for a, b in zip(kids[key[0], final, parts[k]], seen[key])]
+        parents = defaultdict(list)
+        for (host, final, _), n in kids.items():
+            parents[host, final].append(n)
+        after = {}
+        for key, (final, parts) in now.items():
+            if k < len(parts):
+                all_, (n, b, a) = parents[key[0], final], kids[key[0], final, parts[k]]
+                total, bad, good = (sum(x[i] for x in all_) for i in range(3))
+                own, rest = b + a, bad + good - b - a
+                p, q, both = (b + 1) / (own + 2), (bad - b + 1) / (rest + 2), (bad + 2) / (own + rest + 4)
+                alike = abs(p - q) <= url_filter.Z * math.sqrt(both * (1 - both) * (1 / (own + 2) + 1 / (rest + 2)))
+                variable = len(all_) > url_filter.MANY and n <= url_filter.RARE * total / len(all_)
+                merged = sum(x[1] + x[2] >= url_filter.LEAST for x in all_) > 1 and own >= url_filter.LEAST and rest >= url_filter.LEAST and alike
+                final = final + ("/" if k else "") + ("*" if variable or merged else parts[k])
+            after[key] = (final, parts)
+        now = after
+    leaves = defaultdict(lambda: [0, 0])
+    for key, (final, _) in now.items():
+        leaves[key[0], final][0] += seen[key][1]
+        leaves[key[0], final][1] += seen[key][2]
+    out = []
+    for page_id, host, path, rule, verdict, template in rows:
+        final = now[host, template][0]
+        b, a = leaves[host, final]
+        purity = (b + url_filter.PRIOR * url_filter.WEIGHT) / (b + a + url_filter.WEIGHT)
+        out.append((page_id, host, path, rule, verdict or ("block" if purity >= url_filter.REJECT else "allow"), final))
+    return sorted(out)
+
+
+def test_urls_equal_brute_force(spark):
+    draw = random.Random(8)
+    rules = [("block", "h1", "/a/b"), ("allow", "h1", "/a/c/"), ("block", "org", "/x"), ("allow", "h2.org", "/x/y"), ("block", "h2.org", "/q")]
+    names = ["a", "b", "c", "x", "y", "q", "item-7", "id99", "0123456789abcdef0", "", "ü"]
+    urls = [f"http://{draw.choice(['h1', 'H2.org', 's.h2.org', 'h3'])}/" + "/".join(draw.choice(names) + (chr(97 + draw.randrange(26)) * draw.randrange(3)) for _ in range(draw.randrange(6))) + draw.choice(["", "?k=1", "#t"]) for _ in range(1500)]
+    urls += [f"https://h1/user/{i:b}{chr(97 + i % 26)}{chr(97 + i // 26)}/z" for i in range(300)] + ["http://deep/" + "/".join("ab"[i % 2] for i in range(40)) + end for end in ("/k", "/l")]
+    pages = list(enumerate(urls))
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), rules)
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict, r.template) for r in got.collect()) == brute_verdicts(pages, rules)
+
+
+def test_urls_of_any_depth(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "DEPTH", 5)
+    urls = ["http://h/" + "/".join("x" * 5000), "http://h/" + "/".join("x" * 5000) + "/y", "http://h/a/b/c/d/e/f", "http://g"]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == 4 and all(r.template == r.path and r.verdict == "allow" for r in got.values())
+
+
 PRIVATE = [
     (1, "Write to bob.smith@mail.example.com or +1 (262) 555-3752, ip 10.2.3.4. Card 4111 1111 1111 1111."),
     (2, "Mr. John Smith met Mrs. Anna Smith. Later John and Smith left; bob.smith@mail.example.com"),
