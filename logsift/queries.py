@@ -11,7 +11,7 @@ from logsift.functions.labels import labels_column, native_label
 from logsift.functions.text import has_tokens, tokens
 from logsift.operators import layout as L
 from logsift.operators.search import head, in_order, matching, search, tail, token_gated, token_sets
-from logsift.sources import ingest
+from logsift.sources import ingest, otlp
 from logsift.sources.views import EPOCH_2024, VIEWS_SQL, entries, text_entries
 
 DAY = 86_400_000_000_000
@@ -309,11 +309,19 @@ def envelope_ingest(spark, sf_dir):
 OTLP_BODY = '{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"test-service"}}]},"scopeLogs":[{"scope":{},"logRecords":[{"timeUnixNano":"1700000000000000001","severityText":"INFO","body":{"stringValue":"say \\"hi\\""},"attributes":[{"key":"n","value":{"intValue":"3"}}],"traceId":"0AF7"},{"observedTimeUnixNano":"9","body":{"boolValue":true}}]}]}]}'
 
 
-@query("""SELECT * FROM (VALUES (1700000000000000001::BIGINT, '{"timestamp":1700000000000000001,"trace_id":"0af7","severity_text":"INFO","body":"say \\"hi\\"","attributes":{"n":3},"resource":{"service.name":"test-service"},"scope":{}}'),
+@query("""SELECT * FROM (VALUES (1700000000000000001::BIGINT, '{"timestamp":1700000000000000001,"severity_text":"INFO","body":"say \\"hi\\"","attributes":{"n":3},"trace_id":"0af7","resource":{"service.name":"test-service"},"scope":{}}'),
   (9::BIGINT, '{"timestamp":0,"observed_timestamp":9,"body":true,"resource":{"service.name":"test-service"},"scope":{}}')) t("timestamp", data)""")
 def otlp_flatten(spark, sf_dir):
-    body = spark.createDataFrame([(OTLP_BODY,)], "body string")
-    return ingest.otlp_rows(body.select(F.from_json("body", ingest.OTLP).alias("b")).select("b.resourceLogs"))
+    return otlp.otlp_rows(spark.createDataFrame([(OTLP_BODY,)], "body string"))
+
+
+#: A request for each event: values of all kinds, nested, and in each seventh a number that JSON hasn't.
+_OTLP = """'{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc-' || (user_id % 5) || '"}}]},"scopeLogs":[{"scope":{"name":"lib","version":"1"},"logRecords":[{"timeUnixNano":"' || (event_id + 1) || '","severityText":"' || upper(event_type) || '","body":{"kvlistValue":{"values":[{"key":"id","value":{"intValue":"' || event_id || '"}},{"key":"list","value":{"arrayValue":{"values":[{"boolValue":true},{"stringValue":"a"},{}]}}},{"key":"raw","value":{"bytesValue":"aGk="}}]}},"attributes":[{"key":"x","value":{"doubleValue":' || CASE WHEN event_id % 7 = 3 THEN '"NaN"' ELSE '0.5' END || '}}],"flags":1}]}]}]}'"""
+
+
+@query("""SELECT event_id + 1 AS "timestamp", '{"timestamp":' || (event_id + 1) || ',"severity_text":"' || upper(event_type) || '","body":{"id":' || event_id || ',"list":[true,"a",null],"raw":"aGk="},"attributes":{"x":0.5},"flags":1,"resource":{"service.name":"svc-' || (user_id % 5) || '"},"scope":{"name":"lib","version":"1"}}' AS data FROM events WHERE event_id % 7 <> 3""")
+def otlp_any_values(spark, sf_dir):
+    return otlp.otlp_rows(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_OTLP).alias("body")))
 
 
 @query("""SELECT epoch_us(ts) * 1000 AS "timestamp", '{"service_name":"svc-' || (user_id % 5) || '","severity_text":"' || upper(event_type) || '","trace_id":"' || lower(hex(CAST(event_id AS VARCHAR))) || '","body":"' || event_type || '"}' AS data FROM events""")
@@ -331,7 +339,7 @@ def import_row_json(spark, sf_dir):
     return ingest.import_rows(rows)
 
 
-@query(None)
+@query('SELECT "timestamp", data FROM entries')
 def wal_replay(spark, sf_dir):
     """Entries written as JSON lines with damaged ones between, and read back."""
     from logsift.session import shared_dir
@@ -342,11 +350,79 @@ def wal_replay(spark, sf_dir):
     return ingest.read_wal(spark, path)
 
 
+@query(f", {POSTINGS} SELECT token, CAST(data_id AS VARCHAR) AS data_id FROM postings")
+def index_wal_replay(spark, sf_dir):
+    """Postings written twice as JSON lines with damaged ones between, and read back."""
+    from logsift.session import shared_dir
+
+    path = shared_dir(spark, "index-wal")
+    lines = _postings(spark, sf_dir).select(F.to_json(F.struct("token", F.col("data_id").cast("string").alias("data_id"))).alias("value"))
+    lines.unionByName(lines).unionByName(spark.createDataFrame([('{"token": "lbl:',), ("#",)], "value string")).write.text(path)
+    return ingest.read_index_wal(spark, path)
+
+
 @query("""SELECT event_id, "timestamp" || ' [' || level || '] ' || json_extract_string(data, '$.body') || ' (' || CASE WHEN CAST(json_extract(data, '$.attributes') AS VARCHAR) <> '{}' THEN 'attrs: ' || CAST(json_extract(data, '$.attributes') AS VARCHAR) || ', ' ELSE '' END || 'resource: ' || CAST(json_extract(data, '$.resource') AS VARCHAR) || ')' AS line FROM entries""")
 def format_entry(spark, sf_dir):
     return entries(spark, sf_dir).select("event_id", ingest.formatted(F.col("data"), F.col("timestamp")).alias("line"))
 
 
+# The store, over four parts
+
+
+def _filled(spark: SparkSession, rows: DataFrame):
+    """A new store with a batch for each of the parts 0 to 3 of rows(timestamp, data, part)."""
+    from logsift.plans.store import LogStore
+    from logsift.session import shared_dir
+
+    store = LogStore(spark, shared_dir(spark, "store"))
+    for k in range(4):
+        store.append(rows.where(F.col("part") == k), str(k))
+    return store
+
+
+@query(f'SELECT "timestamp", data FROM text_entries WHERE contains({FOLD}, \'icens\')')
+def store_term_search(spark, sf_dir):
+    """A term and a part of it, before and after a compaction; parts are skipped by their 3-grams."""
+    store = _filled(spark, text_entries(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("data"), F.lit(4))))
+    before = store.search(term="ICENS").rows
+    store.compact()
+    return before.unionByName(store.search(term="license").rows).distinct()
+
+
+@query("""SELECT 4 AS parts_total, 0 AS parts_pruned_by_ts, count(*) FILTER (WHERE found = 0) AS parts_pruned_by_index, count(*) FILTER (WHERE found > 0) AS parts_scanned,
+  coalesce(sum(n) FILTER (WHERE found > 0), 0) AS entries_scanned, sum(found) AS entries_matched
+  FROM (SELECT event_id // 250 AS part, count(*) AS n, count(*) FILTER (WHERE k = '69') AS found FROM entries WHERE event_id < 1000 GROUP BY 1)""")
+def stats_json(spark, sf_dir):
+    """Counters of a label search, from the response."""
+    import json
+
+    e = entries(spark, sf_dir).where("event_id < 1000").withColumn("part", F.floor(F.col("event_id") / 250))
+    stats = json.loads("".join(_filled(spark, e).search(q='{"labels":[{"l":"k","op":"eq","v":"69"}]}').to_json()))["stats"]
+    names = ["parts_total", "parts_pruned_by_ts", "parts_pruned_by_index", "parts_scanned", "entries_scanned", "entries_matched"]
+    return spark.createDataFrame([tuple(stats[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query(f", {POSTINGS} SELECT DISTINCT token FROM postings")
+def store_index_compaction(spark, sf_dir):
+    """Label postings after parts were merged and their postings compacted into one folder."""
+    store = _filled(spark, entries(spark, sf_dir).withColumn("part", F.col("event_id") % 4))
+    (part,) = store.compact()
+    store.append(entries(spark, sf_dir).limit(1), "more")
+    store.compact_index()
+    rows = store._postings_of([p for p in store.parts() if p.part_id == part.part_id])
+    return rows.where(F.col("token").rlike("^lbl:(level|service_name|k)=") & (F.col("data_id") == part.part_id)).select("token")
+
+
+@query('SELECT "timestamp", data FROM entries')
+def store_after_truncation(spark, sf_dir):
+    """All rows of a store whose log was cut off behind its snapshot."""
+    store = _filled(spark, entries(spark, sf_dir).withColumn("part", F.col("event_id") % 4))
+    store.compact()
+    store.snapshot()
+    store.truncate_log()
+    return store.search().rows
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of two weeks, by label."""
     return search(entries(spark, sf_dir), start=FROM, end=TO, q='{"labels":[{"l":"level","op":"eq","v":"ERROR"}]}', label_of=NATIVE)

@@ -37,9 +37,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster: spark.checkpoint.dir, set here only where it is unset."""
+    """The shared folder of the cluster: spark.checkpoint.dir. Where it is unset and all runs on this machine, a temporary folder is;
+    elsewhere that would be a folder of each machine's own, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="logsift-shared-")
         atexit.register(shutil.rmtree, root[7:], True)
         spark.conf.set("spark.checkpoint.dir", root)

@@ -1,4 +1,4 @@
-"""Sources of entries: request bodies, OTLP records, rows of another database, write-ahead logs."""
+"""Sources of entries: request bodies, rows of another database, write-ahead logs. OTLP is in otlp.py."""
 
 from __future__ import annotations
 
@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 ENTRY = "timestamp long, data string"
 ENVELOPE = f"data array<struct<{ENTRY.replace('timestamp long', 'timestamp:bigint').replace('data string', 'data:string')}>>"
 
-VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
-ATTRIBUTES = f"array<struct<key:string,value:{VALUE}>>"
-RECORD = f"struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{VALUE},attributes:{ATTRIBUTES},flags:bigint,traceId:string,spanId:string>"
-SCOPE = f"struct<name:string,version:string,attributes:{ATTRIBUTES}>"
-OTLP = f"resourceLogs array<struct<resource:struct<attributes:{ATTRIBUTES}>,scopeLogs:array<struct<scope:{SCOPE},logRecords:array<{RECORD}>>>>>"
-
 # Columns of the importer's rows, in the order in which they are written; fixed values.
 IMPORT_COLUMNS = ["service_instance_id", "service_name", "service_namespace", "severity_number", "severity_text", "trace_id", "span_id", "trace_flags", "body", "attribute", "resource", "scope_name", "scope_version", "scope"]
 
@@ -29,60 +23,11 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return envelope_rows(spark.read.schema(ENVELOPE).option("multiLine", True).option("mode", "FAILFAST").json(path))
 
 
-def _value(v: Column) -> Column:
-    """A value of any kind as JSON text."""
-    quoted = lambda x: F.substring(F.to_json(F.array(x)), F.lit(2), F.length(F.to_json(F.array(x))) - 2)
-    return F.coalesce(F.when(v["stringValue"].isNotNull(), quoted(v["stringValue"])), v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"), F.lit("null"))
-
-
-def _object(attributes: Column) -> Column:
-    """Attributes as the text of a JSON object, or null if there are none."""
-    pairs = F.transform(attributes, lambda a: F.concat(F.to_json(F.array(a["key"])).substr(F.lit(2), F.length(F.to_json(F.array(a["key"]))) - 2), F.lit(":"), _value(a["value"])))
-    return F.when(F.size(attributes) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
-
-
-def _text(name: str, value: Column) -> Column:
-    json = F.to_json(F.array(value))
-    return F.when(value != "", F.concat(F.lit(f'"{name}":'), json.substr(F.lit(2), F.length(json) - 2)))
-
-
-def otlp_rows(requests: DataFrame) -> DataFrame:
-    """Entries of OTLP/JSON requests: one JSON line a record, its time being the record's, else
-    when it was observed, else now. Empty fields are left out; `timestamp` and `scope` never are."""
-    r = requests.select(F.explode("resourceLogs").alias("r")).select("r.resource", F.explode("r.scopeLogs").alias("s")).select("resource", "s.scope", F.explode("s.logRecords").alias("l"))
-    nano = lambda c: F.coalesce(F.col(f"l.{c}").try_cast("long"), F.lit(0))
-    now = F.unix_micros(F.current_timestamp()) * 1000
-    number = lambda name, value: F.when(value != 0, F.concat(F.lit(f'"{name}":'), value.cast("string")))
-    raw = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value))
-    scope = F.concat(F.lit('"scope":{'), F.concat_ws(",", _text("name", F.col("scope.name")), _text("version", F.col("scope.version")), raw("attributes", _object(F.col("scope.attributes")))), F.lit("}"))
-    body = F.when(F.col("l.body").isNotNull(), _value(F.col("l.body")))
-    fields = F.concat_ws(
-        ",",
-        F.concat(F.lit('"timestamp":'), nano("timeUnixNano").cast("string")),
-        number("observed_timestamp", nano("observedTimeUnixNano")),
-        _text("trace_id", F.lower("l.traceId")),
-        _text("span_id", F.lower("l.spanId")),
-        number("flags", F.col("l.flags")),
-        _text("severity_text", F.col("l.severityText")),
-        number("severity_number", F.col("l.severityNumber")),
-        raw("body", body),
-        raw("attributes", _object(F.col("l.attributes"))),
-        raw("resource", _object(F.col("resource.attributes"))),
-        scope,
-    )
-    when = F.coalesce(F.nullif(nano("timeUnixNano"), F.lit(0)), F.nullif(nano("observedTimeUnixNano"), F.lit(0)), now)
-    return r.select(when.alias("timestamp"), F.concat(F.lit("{"), fields, F.lit("}")).alias("data"))
-
-
-def read_otlp(spark: SparkSession, path: str) -> DataFrame:
-    return otlp_rows(spark.read.schema(OTLP).option("multiLine", True).json(path))
-
-
 def import_rows(logs: DataFrame, since: str | None = None, limit: int | None = None) -> DataFrame:
     """Entries of a table with a `timestamp` and the importer's columns (those it has)."""
     rows = logs.where(F.col("timestamp") >= F.lit(since).cast("timestamp")) if since else logs
-    if limit:
-        rows = rows.orderBy("timestamp").limit(limit)
+    if limit:  # any so many rows, as the source gives them
+        rows = rows.limit(limit)
     hexed = {"trace_id", "span_id"}
     kinds = dict(logs.dtypes)
     shown = lambda c: F.lower(F.hex(c)) if c in hexed and kinds[c] == "binary" else F.col(c)
@@ -101,6 +46,12 @@ def read_wal(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("timestamp is not null or data is not null").select(F.coalesce("timestamp", F.lit(0)).alias("timestamp"), F.coalesce("data", F.lit("")).alias("data"))
 
 
+def read_index_wal(spark: SparkSession, path: str) -> DataFrame:
+    """Postings (token, data_id) of write-ahead logs of an index; damaged lines are dropped, each pair is there once."""
+    rows = spark.read.schema("token string, data_id string").option("mode", "DROPMALFORMED").json(path)
+    return rows.where("token is not null and data_id is not null").distinct()
+
+
 def write_blocks(entries: DataFrame, path: str, codec: str = "none") -> None:
     """Lines of JSON, plain or compressed, as older stores keep them."""
     if codec not in ("none", "gzip", "zstd"):

@@ -1,4 +1,5 @@
 import json
+import os
 import time
 
 import pytest
@@ -55,7 +56,7 @@ def test_stats_and_pruning(store, rows):
     r = store.search(start=5, end=9)
     assert len(r.rows.collect()) == 5
     s = r.finished()
-    assert (s.parts_total, s.parts_pruned_by_time, s.parts_scanned, s.entries_matched) == (2, 1, 1, 5)
+    assert (s.parts_total, s.parts_pruned_by_ts, s.parts_scanned, s.entries_matched) == (2, 1, 1, 5)
     r = store.search(q='{"labels":[{"l":"body","op":"eq","v":"line 3 word3"}]}')
     assert got(r.rows) == [ROWS[2]] and r.stats.used_index and r.stats.parts_pruned_by_index == 1
     body = json.loads("".join(store.search(term="word40").to_json()))
@@ -107,3 +108,124 @@ def test_wal_and_blocks(spark, tmp_path):
         assert got(ingest.read_wal(spark, str(tmp_path / codec))) == [(1, "a")]
     with pytest.raises(ValueError):
         ingest.write_blocks(df, str(tmp_path / "z"), "lz9")
+
+
+def test_torn_entries_and_running_writes(spark, store, rows, tmp_path):
+    store.append(rows.where("timestamp <= 20"), "a")
+    log = tmp_path / "store/log"
+    (log / f"{1:016d}.json").write_text("")  # a writer died
+    (log / ".aside").write_text("{")
+    store.append(rows.where("timestamp > 20"), "b")
+    assert got(store.search().rows) == ROWS and [e["index"] for e in store.log()] == [0, 2]
+    running = tmp_path / "store/parts/b-running"
+    (running / "_temporary").mkdir(parents=True)
+    (running / "_temporary/part-0").write_text("x")
+    old = time.time() - 1000
+    for f in (running, running / "_temporary"):
+        os.utime(f, (old, old))
+    assert store.vacuum() == []  # something in it is new
+    os.utime(running / "_temporary/part-0", (old, old))
+    assert store.vacuum() == ["parts/b-running"]
+
+
+def test_two_writers_take_different_entries(spark, store, rows):
+    other = LogStore(spark, store.root)
+    store._append("PUT", part={"part_id": "x"}, old_parts=[])
+    seen = other._entries
+    other._entries = lambda: seen()[:-1]  # it has listed the log before the first entry came
+    with pytest.raises(RuntimeError):
+        other._append("PUT", part={"part_id": "y"}, old_parts=[])
+    assert [e["part"]["part_id"] for e in store.log()] == ["x"]
+
+
+def test_snapshots_and_truncation(spark, store, rows, monkeypatch):
+    monkeypatch.setattr("logsift.plans.store.SNAPSHOT_EVERY", 3)
+    for k in range(5):
+        store.append(rows.where(f"timestamp % 5 = {k}"), str(k))
+    store.compact()
+    before = store.parts()
+    assert store._snapshot() >= 2 and store.truncate_log(pointer=1) == 1 and store.truncate_log() > 0
+    assert store.parts() == before and got(store.search().rows) == ROWS
+    assert store.append(rows.where("timestamp % 5 = 1"), "1") and store.parts() == before  # a batch of a part that was merged
+    store.snapshot()
+    store.truncate_log()
+    assert store.log() == [] and store.parts() == before and got(store.search(term="word7").rows) == [ROWS[6]]
+    r = store.search(term="no such thing")
+    assert r.rows.count() == 0 and r.stats.parts_scanned == 0 and r.stats.parts_pruned_by_index == len(before)
+    store.append(spark.createDataFrame([(99, "late")], "timestamp long, data string"), "z")
+    assert len(store.parts()) == len(before) + 1
+
+
+def test_terms_skip_parts(store, rows, spark):
+    store.append(rows.where("timestamp <= 20"), "a")
+    store.append(rows.where("timestamp > 20"), "b")
+    for term, scanned in (("word40", 1), ("ORD4", 2), ("xyzzy", 0), ("w", 2), ("É", 2), ("", 2)):
+        r = store.search(term=term)
+        assert got(r.rows) == got(search(rows, term=term)) and r.stats.parts_scanned == scanned, term
+    r = store.search(q='{"line":[{"op":"eq","v":"word33"}]}')
+    assert got(r.rows) == [ROWS[32]] and r.stats.parts_scanned == 1
+    r = store.search(term="word7", token_gate=True)
+    assert got(r.rows) == [ROWS[6]]
+    r = store.search(term="ord7", token_gate=True)  # no whole token
+    assert got(r.rows) == [] and r.stats.parts_scanned == 0
+    r = store.search(q='{"labels":[{"l":"service_name","op":"eq","v":"none"}]}')
+    assert got(r.rows) == [] and r.stats.parts_scanned == 0
+    assert list(r.stats.to_json()) == "parts_total parts_pruned_by_ts parts_pruned_by_index parts_scanned blocks_total blocks_pruned_by_ts blocks_pruned_by_index blocks_scanned entries_scanned entries_matched used_index duration_ms".split()
+    hot = spark.createDataFrame([(7, "hot word7"), (8, "hot")], "timestamp long, data string")
+    assert got(store.search(term="word7", hot=hot).rows) == sorted([ROWS[6], (7, "hot word7")])
+
+
+def test_non_ascii_terms_are_found_in_parts(store, spark):
+    store.append(spark.createDataFrame([(1, "Größe ÉCOLE é"), (2, "xx"), (3, "")], "timestamp long, data string"), "a")
+    for term in ("größe", "GRÖßE", "É", "école", "cole é", "ÉCOLE"):
+        assert got(store.search(term=term).rows) == got(store.search(term=term, use_index=False).rows), term
+
+
+def test_token_cap(store, spark, rows):
+    many = spark.range(10_050).selectExpr("id as timestamp", "concat('t', id) as data")
+    store.append(many, "many")
+    store.append(rows, "few")
+    assert store.search(term="t7", token_gate=True).stats.parts_scanned == 1
+    assert len(store.search(term="ord7", token_gate=True, use_index=False).rows.collect()) == 0
+    assert store.search(term="line", token_gate=True, use_index=False).stats.parts_scanned == 2  # the cut set never prunes
+    store.compact(force=True)
+    assert store.search(term="nothing", token_gate=True, use_index=False).stats.parts_scanned == 1
+
+
+def test_index_compaction(store, rows):
+    for k in range(4):
+        store.append(rows.where(f"timestamp % 4 = {k}"), str(k))
+    store.compact()
+    store.append(rows.where("timestamp = 9"), "more")
+    index = store.compact_index()
+    assert {p.index_id for p in store.parts()} == {index} and store.compact_index() is None
+    posted = store._postings_of(store.parts())
+    assert {r.data_id for r in posted.select("data_id").distinct().collect()} == {p.part_id for p in store.parts()}
+    r = store.search(q='{"labels":[{"l":"body","op":"eq","v":"line 9 word9"}]}')
+    assert got(r.rows) == [ROWS[8], ROWS[8]] and r.stats.parts_scanned == 2
+    assert len([g for g in store.vacuum(age=0, now=time.time() + 60) if g.startswith("postings/")]) == 6
+
+
+def test_damaged_parts_are_found(store, rows, tmp_path, spark):
+    for k in range(4):
+        store.append(rows.where(f"timestamp % 4 = {k}"), str(k))
+    assert store.verify() == {}
+    rows.where("timestamp = 4").select("timestamp", "data").write.mode("overwrite").parquet(f"{store.root}/parts/b-0")
+    for f in (tmp_path / "store/parts/b-1").glob("*part-*"):
+        f.unlink() if f.name.endswith(".crc") else f.write_bytes(b"PAR1 no")
+    assert set(store.verify()) == {"b-0", "b-1"}
+    with pytest.raises(Exception):
+        store.compact()
+    assert len(store.parts()) == 4
+    with pytest.raises(ValueError, match="empty block"):
+        store.ingest(rows.where("1 = 0"), "none")
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from logsift.session import checkpoint_root
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        checkpoint_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://h:1")))
