@@ -556,10 +556,11 @@ def components(edges: DataFrame) -> DataFrame:
     large and small stars; every round is written out."""
     now = edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
     while True:
-        both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = _kept(now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u"))), "join-edges")
+        # least neighbours are written, so that the joins are split where a node has many
+        least = _kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "join-least")
+        large = _kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "join-large")
+        least = _kept(large.groupBy("u").agg(F.min("v").alias("m")), "join-least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         after = _kept(small.select("v", "u").distinct(), "join-stars")
         if not after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() and not after.groupBy("u").count().where("count > 1").limit(1).count():
