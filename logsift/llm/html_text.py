@@ -12,7 +12,10 @@ word of a name is one of boilerplate or of layout (site-footer, but not has-side
 doesn't where the element holds most of the page's points; comments, adverts and consent never count.
 
 Nulls: null or empty html, and a page without text, give an empty text; null page_id and url are
-kept. Unclosed, crossed and cut-off tags never fail. Repeated pages get a row each.
+kept. Unclosed, crossed and cut-off tags never fail: a raw element without an end (svg, iframe, select) ends where the next
+block begins, and only script, style, textarea and title run to the end. Of containers with equal scores the first counts.
+Long and deep pages take linear time. Repeated pages get a row each. Only page_id, url and html are read, so other
+columns can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

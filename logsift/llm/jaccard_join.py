@@ -40,12 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm.tokens import lean, slices
-from logsift.llm.words import hashes, mix, part_of, split_words
+from logsift.llm.words import hashes, input_bytes, mix, part_of, shards_of, split_words
 from logsift.llm.ngram_lm import _save
 from logsift.session import local_path, shared_dir, ship_package
 
 FLUSH = 1_000_000  # pairs of shingle and document that a task holds at once
-SHARD_BYTES = 32 << 20  # of input for each shard of hashes
 SPARE = 12  # bits of a hash in lists, over those that count the bytes of the input
 LEAST_BITS = 10  # a set's bitmap has 2^10 bits at least
 CELL, CELL_BYTES = 256, 4 << 20  # rows that ask, and bytes, in one cell of a search
@@ -542,7 +541,7 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 def _tested(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs(a, b) of classes, each with whether it is linked and what its sets differ in."""
     needed = _kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node"), "join-needed")
-    shards = _shards(docs)
+    shards = shards_of(docs)
     ids = LongFile.write(needed.select(F.col("doc_id").alias("key")).distinct(), shards)
     nulls = needed.where("doc_id is null").limit(1).count() > 0
     sets = docs.select("doc_id", "text").mapInArrow(lean(_sets(width, ids, nulls)), "hi long, lo long, shingles binary")
@@ -569,25 +568,14 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
-def _size(docs: DataFrame) -> int:
-    """Bytes of input as Spark knows them; 2^60 or more if it doesn't."""
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _shards(docs: DataFrame) -> int:
-    """Shards of hashes: as many as the session's partitions, more where the input is large for them."""
-    size = _size(docs)
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0 if size >= 1 << 60 else size // SHARD_BYTES)
-
-
 def _bits(docs: DataFrame) -> int:
     """So many bits of a hash that one in 2^SPARE meets another by chance, at most; that makes a list longer and no link wrong."""
-    return min(64, max(32, _size(docs).bit_length() + SPARE))
+    return min(64, max(32, input_bytes(docs).bit_length() + SPARE))
 
 
 def short_lists(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, short lists) of docs(doc_id, text)."""
-    spark, shards = docs.sparkSession, _shards(docs)
+    spark, shards = docs.sparkSession, shards_of(docs)
     staged = shared_dir(spark, "join-staged")
     cut = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(_stage(width, shards, _bits(docs))), STAGED)
     cut.write.partitionBy("kind").parquet(staged)
@@ -608,7 +596,7 @@ def similar_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
         raise ValueError(f"{percent}: a similarity of 50 to 100 percent is needed")
     spark = docs.sparkSession
     ship_package(spark)
-    shards = _shards(docs)
+    shards = shards_of(docs)
     rows, classes, lists = short_lists(docs, width, percent)
     # the class of most short lists is the likeliest to be what the others were made from
     centres = lists.groupBy("hash").agg(F.max(F.struct("times", (-F.col("uid")).alias("uid"))).alias("top"), F.count("*").alias("all")).where("all > 1")

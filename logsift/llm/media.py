@@ -13,7 +13,8 @@ reads its own part of the directory and streams its members in Arrow batches; ev
 member is fetched by its offset and checked by its CRC, and on a failure fetched again alone.
 
 Nulls: a null text is an empty one, padded to one line; a null doc_id is kept. Repeated rows are
-members of their own. An empty table makes archives without members.
+members of their own; a very long text is one member, held whole by one worker. Only doc_id and text are
+read, so other columns can't clash. An empty table makes archives without members.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ counts the distinct words before w and an unknown word has only the last term. A
 opened by a start context and closed by an end token.
 
 Nulls: a null text is empty (its end is still scored); a null doc_id counts as the empty text
-in the split into training and held-out rows. Repeated rows count each. Without training rows
+in the split into training and held-out rows. Repeated rows count each. A very long text is counted and scored
+whole, in one batch of one worker. Only doc_id and text are read, so other columns can't clash; an empty table
+has no scores. The order is 2 and no parameter: keys are two ids in 64 bits. Without training rows
 every score is that of the uniform distribution over one unknown word, 0.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.llm.tokens import lean, slices
-from logsift.llm.words import hashes, mix, part_of, split_words
+from logsift.llm.words import hashes, mix, part_of, shards_of, split_words
 from logsift.session import local_path, shared_dir, ship_package
 
 END = 0x2545F4914F6CDD1D  # the end token's place among the hashes of words
@@ -239,7 +241,7 @@ def _write_pairs(path: str, base: np.ndarray, hot: np.ndarray):
             keys, counts = _merge(blobs)
             first, second = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
             _save(f"{path}/pairs/{shard}.npy", keys)
-            _save(f"{path}/pair_counts/{shard}.npy", counts.astype(np.uint32))
+            _save(f"{path}/pair_counts/{shard}.npy", counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts)
             ids, stats = _contexts(first, counts)
             many = np.isin(ids, hot)
             _save(f"{path}/contexts/{shard}.npy", ids[~many])
@@ -282,7 +284,7 @@ def train(docs: DataFrame, path: str | None = None) -> dict:
     spark = docs.sparkSession
     ship_package(spark)
     path = local_path(path or shared_dir(spark, "ngram-lm"))
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards_of(docs)
     docs = docs.select("text")
     counted = _dealt(docs.mapInArrow(lean(_count_words(shards)), BLOB), shards)
     got = {r.shard: r for r in counted.mapInArrow(lean(_write_words(path)), "shard int, n long, total long").collect()}

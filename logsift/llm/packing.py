@@ -8,7 +8,9 @@ documents there are. Pieces find their place by their rank among those of their
 needs counts per task and no sort of all rows.
 
 Nulls: a null text is an empty one (its end id is still packed); a null doc_id is kept. Repeated
-rows are packed each. An empty table gives no rows.
+rows are packed each; which of several pieces of one length takes which place is a tie that changes no count. A very
+long text is encoded whole by one worker and cut into pieces. Only doc_id and text are read, so other columns
+can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

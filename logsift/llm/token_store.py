@@ -10,7 +10,10 @@ equal chunks wherever they stand. The store has three Parquet tables and a manif
 * `manifest`: per shard its rows, ids, first position and Merkle root over the document roots.
 
 Nulls: a null text is an empty one, and a document always has its end id; a null doc_id sorts
-first. Repeated rows are kept, each with its own place. An empty table gives an empty store.
+first. Repeated rows are kept, each with its own place; ties of doc_id go by the order in which they were read. A very long
+text is encoded whole by one worker and stored as many chunks. Only doc_id and text are read, so other columns can't
+clash. An empty table gives an empty store. A reader compares all shards with the manifest: one that is lost,
+foreign or changed is an error.
 Chunks, recipes and prefix sums are made by distributed jobs; the driver holds one row a shard.
 """
 

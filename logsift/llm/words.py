@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from logsift.llm.tokens import compact
 
@@ -61,3 +62,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Which of so many equal ranges of 64-bit hashes each hash is in."""
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+SHARD_BYTES = 32 << 20  # of input for each shard
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of input as Spark knows them; 2^60 or more if it doesn't."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def shards_of(docs: DataFrame) -> int:
+    """Shards of hashes: as many as the session's partitions, more where the input (if Spark knows its size) is large for them."""
+    size = input_bytes(docs)
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0 if size >= 1 << 60 else size // SHARD_BYTES)
