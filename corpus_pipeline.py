@@ -4,6 +4,11 @@ Every stage reads all that the one before kept, as Parquet in the shared folder,
 take effect: toxic documents go, of each group of near duplicates (five words, similarity
 0.8) the document with the least doc_id stays, documents with benchmark passages go, personal
 data is replaced by surrogates, and what is left is packed into sequences of 1024 tokens.
+
+Nulls: a document without text or words is neither toxic nor a duplicate nor a leak; it stays, and is packed as its end
+token. A null doc_id is kept; among near duplicates it goes before no other id. Repeated rows: one stays. Ties: of
+several rows with the least doc_id of a group the first read stays. Very long texts go through each stage whole.
+Columns beside doc_id and text stay, under any names, up to the last stage. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ STAGES = [
     ("pii_surrogates", replace_personal),
     ("packing", pack),
 ]
-ORACLE_SQL = None  # none of the stages' methods can be written in SQL; tests compare them with brute force
+ORACLE_SQL = None  # no stage's method can be written in SQL; tests/llm/test_pipeline.py compares each with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
