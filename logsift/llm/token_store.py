@@ -101,7 +101,7 @@ def _stage(path: str, spaces: bool, end_id: int):
 
         enc, uid = encoder(path, spaces), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, 9_000_000):  # a whole batch as a rule: its pieces are looked up once
                 ids, off = enc.encode(b.column(1), end_id)
                 ends = cuts(ids, off)
                 bounds = np.concatenate([[0], ends])

@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 pa.set_memory_pool(pa.system_memory_pool())  # in workers, which import this: memory goes back between batches
 try:
     _libc = ctypes.CDLL(None)
-    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: else it grows, and large arrays stay with the process when they are freed
-    _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    _libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: else it grows, and large arrays stay with the process when they are freed
+    _libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 except (AttributeError, OSError):  # another C library
     _libc = None
 
