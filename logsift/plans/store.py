@@ -126,6 +126,7 @@ class LogStore:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
+        self._parsed: dict[int, str] = {}  # entries never change, and an index is never used twice
 
     # The log
 
@@ -150,9 +151,12 @@ class LogStore:
         for index, path in self._entries():
             if index > after:
                 try:
-                    out.append(json.loads(self._read(path)))
+                    body = self._parsed.get(index) or self._read(path)
+                    out.append(json.loads(body))
+                    self._parsed[index] = body
                 except ValueError:
                     continue
+        self._parsed = {i: b for i, b in self._parsed.items() if i > after}
         return out
 
     def _append(self, op: str, **entry) -> int:

@@ -48,6 +48,7 @@ OPEN = '"timestamp" BETWEEN 0 AND 4611686018427387904'
 _by_search("time_range", entries, f'"timestamp" BETWEEN {FROM} AND {TO}', start=FROM, end=TO)
 _by_search("time_point_inclusive", text_entries, f'"timestamp" = {EPOCH_2024 + 7 * 10**9}', start=EPOCH_2024 + 7 * 10**9, end=EPOCH_2024 + 7 * 10**9)
 _by_search("time_open_bounds", entries, OPEN)
+# "nonexistent-term" and "test-service" below are fixed values, as the published tests have them.
 for _name, _term in (("term_search", "license"), ("term_case_fold", "LiCeNsE"), ("term_multiword", "the and"), ("term_miss", "nonexistent-term"), ("term_non_ascii", "É"), ("term_part_of_token", "icens")):
     _by_search(_name, text_entries, f"contains({FOLD}, '{_term.lower()}')", term=_term)
 _by_search("term_empty", text_entries, OPEN, term="")
