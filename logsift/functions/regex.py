@@ -8,6 +8,10 @@ import re
 POSIX = {"alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}", "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\s", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}"}
 
 
+SPACE = r"\t\n\f\r "  # what RE2's \s is; Java's also has \v
+SPACES = {"s": f"[{SPACE}]", "S": f"[^{SPACE}]", "C": r"[\s\S]"}
+
+
 class BadPattern(ValueError):
     """The pattern is no RE2 pattern."""
 
@@ -31,7 +35,7 @@ def _class(p: str, i: int) -> tuple[str, int]:
         elif c == "\\":
             if i + 1 >= len(p):
                 break
-            out, i = out + p[i : i + 2], i + 2
+            out, i = out + (SPACE if p[i + 1] == "s" else p[i : i + 2]), i + 2
         else:
             out, i = out + ("\\" + c if c in "[&^~" or c == "]" else c), i + 1
     raise BadPattern(f"missing closing ]: {p[start:]}")
@@ -59,7 +63,7 @@ def translate(pattern: str) -> str:
                 out.append(m[0])
                 i += m.end()
             else:
-                out.append(r"[\s\S]" if n == "C" else pattern[i : i + 2])
+                out.append(SPACES.get(n, pattern[i : i + 2]))
                 i += 2
             last = "x"
         elif c == "[":
@@ -72,7 +76,7 @@ def translate(pattern: str) -> str:
                     out.append(f"(?<{m[1].replace('_', 'U')}g{len(out)}>")
                     multiline.append(multiline[-1])
                 elif m := re.match(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])", pattern[i:]):
-                    on, off = m[1], m[2] or ""
+                    on, off = m[1].replace("i", "iu"), (m[2] or "").replace("i", "iu")  # case folds in all scripts
                     value = ("m" in on or multiline[-1]) and "m" not in off
                     flags = "".join(x for x in on if x != "U") + ("-" + kept if (kept := "".join(x for x in off if x != "U")) else "")
                     if m[3] == ":":

@@ -140,3 +140,17 @@ def test_parse_time():
 
 def test_has_term_is_pushed_nowhere_else(lines):
     assert lines.where(has_term(F.col("data"), "disk")).count() == 1
+
+
+def test_patterns_match_as_re2_does(spark):
+    import duckdb
+
+    from logsift.functions.regex import translate
+
+    lines = ["a b", "a\vb", "a\tb", "ÄRGER", "ärger", "Straße", "ΣΑΣ", "σας", "plain", "K", "a\u00a0b", ""]
+    patterns = [r"a\sb", r"a[\s,]b", r"a\Sb", r"a[[:space:]]b", r"(?i)ärger", r"(?i:ä)rger", r"(?i)σας", r"(?i)plain(?-i)", r"^\S+$", r"(?i)k"]
+    con = duckdb.connect()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    for p in patterns:
+        expected = [i for i, x in enumerate(lines) if con.execute("SELECT regexp_matches(?, ?)", [x, p]).fetchone()[0]]
+        assert [r.i for r in df.where(F.col("x").rlike(translate(p))).orderBy("i").collect()] == expected, p
