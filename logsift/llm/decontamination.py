@@ -41,7 +41,7 @@ from logsift.llm.words import hashes, mix, split_words
 from logsift.session import ship_package
 
 ITEMS, ITEM_BYTES, FEWEST, LEAST, EDITS = 20_000, 16 << 20, 2, 5, 0.2
-LONG, PIECE = 64, 4  # words of a probe and of a piece, at most
+LONG, PIECE = 64, 3  # words of a probe and of a piece, at most
 WALKS, SAMPLED, RECALL, AGREE = 8, 2, 0.999, 0.45  # AGREE: the least share of equal places expected within the bound
 HELD = 1 << 21  # words of embedded windows at a time
 # Thai, Lao, Burmese, Khmer, kana, and Chinese characters.
