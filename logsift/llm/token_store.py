@@ -32,6 +32,7 @@ from logsift.llm.tokens import WORD_BPE, encoder, lean, slices
 from logsift.session import shared_dir, ship_package
 
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 32, 7, 512
+MOST_SEEN = 100_000  # keys that a map task remembers, so as to write them once
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,11 +48,10 @@ def cuts(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(32)
         base, k = _B, 1
         while k < WINDOW:
-            g = h.copy()
-            g[k:] += h[:-k] * base
-            h, base, k = g, base * base, 2 * k
+            h[k:] += h[:-k] * base
+            base, k = base * base, 2 * k
         h *= np.uint64(0xFF51AFD7ED558CCD)
-    marks = np.flatnonzero(h >> np.uint64(64 - MEAN_BITS) == 0) + 1
+    marks = np.flatnonzero(h < np.uint64(1 << 64 - MEAN_BITS)) + 1
     lo = np.searchsorted(marks, offsets, "right").tolist()
     marks, ends = marks.tolist(), []
     for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
@@ -81,12 +81,16 @@ def _binary(data: bytes, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data)])
 
 
-def _firsts(keys: list[bytes]) -> np.ndarray:
-    """Where each distinct key stands first."""
-    seen: dict[bytes, int] = {}
+def _firsts(keys: list[bytes], seen: set[bytes]) -> np.ndarray:
+    """Where each distinct key that isn't in `seen` stands first; all are in it afterwards."""
+    if len(seen) > MOST_SEEN:  # those to come may be written again; the aggregation keeps one
+        seen.clear()
+    first = []
     for i, k in enumerate(keys):
-        seen.setdefault(k, i)
-    return np.fromiter(seen.values(), np.int64, len(seen))
+        if k not in seen:
+            seen.add(k)
+            first.append(i)
+    return np.array(first, np.int64)
 
 
 def _rows(kind: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -99,7 +103,7 @@ def _stage(path: str, spaces: bool, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        enc, uid = encoder(path, spaces), TaskContext.get().partitionId() << 40
+        enc, uid, chunks, wholes = encoder(path, spaces), TaskContext.get().partitionId() << 40, set(), set()
         for batch in batches:
             for b in slices(batch, 1, 9_000_000):  # a whole batch as a rule: its pieces are looked up once
                 ids, off = enc.encode(b.column(1), end_id)
@@ -108,7 +112,7 @@ def _stage(path: str, spaces: bool, end_id: int):
                 data, w = ids.astype("<u4").tobytes(), 4 if ids.max() > 0xFFFF else 2
                 at = bounds.tolist()
                 keys = [digest(data[4 * s : 4 * e]) for s, e in zip(at, at[1:])]
-                first, sizes = _firsts(keys), np.diff(bounds)
+                first, sizes = _firsts(keys, chunks), np.diff(bounds)
                 all_keys = _binary(joined := b"".join(keys), 16 * np.arange(len(keys) + 1))
                 payload = _binary(ids.astype(f"<u{w}").tobytes(), w * bounds)
                 yield _rows(0, key=all_keys.take(pa.array(first)), n=pa.array(sizes[first]), payload=payload.take(pa.array(first)))
@@ -117,7 +121,7 @@ def _stage(path: str, spaces: bool, end_id: int):
                 recipes, per_row = entries.tobytes(), 20 * np.searchsorted(bounds, off)
                 at = per_row.tolist()
                 roots = [digest(recipes[s:e]) for s, e in zip(at, at[1:])]
-                first, n = _firsts(roots), np.diff(off)
+                first, n = _firsts(roots, wholes), np.diff(off)
                 roots = _binary(b"".join(roots), 16 * np.arange(len(roots) + 1))
                 yield _rows(1, key=roots.take(pa.array(first)), n=pa.array(n[first]), payload=_binary(recipes, per_row).take(pa.array(first)))
                 yield _rows(2, key=roots, n=pa.array(n), doc_id=b.column(0), uid=pa.array(uid + np.arange(len(n))))
@@ -165,8 +169,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, spaces: bool
     ship_package(spark)
     store = store or shared_dir(spark, "token-store")
     staged = docs.select("doc_id", "text").mapInArrow(lean(_stage(tokenizer_path, spaces, end_id)), STAGED_DDL)
-    # a chunk that many documents share meets once per map task: partial aggregation keeps one of each
-    unique = staged.groupBy("kind", "key", "uid").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("payload").alias("payload"))
+    # a chunk that many documents share leaves a map task once, so rows are dealt as they are and sorted once, for the aggregation
+    unique = staged.repartition("kind", "key", "uid").groupBy("kind", "key", "uid").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("payload").alias("payload"))
     unique.write.partitionBy("kind").parquet(f"{store}/staged")
     rows = _part(spark, store, 2).select("doc_id", "uid", "key", "n")
     ordered = rows.repartitionByRange(F.col("doc_id"), F.col("uid")).sortWithinPartitions("doc_id", "uid")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,11 @@ def compact(texts: pa.Array) -> pa.Array:
     return pc.fill_null(pc.take(texts, pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
 
 
+def strings(values: pa.Array) -> list[str]:
+    """to_pylist of strings without nulls, in a fifth of its time."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def slices(batch: pa.RecordBatch, column: int, chars: int = 5_000_000):
     """Slices of a batch with about so many bytes of text each; one row at least."""
     total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -81,61 +87,109 @@ def _bounds(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The runs values[start : start + size], joined."""
-    to = _bounds(size)
-    return values[np.arange(to[-1]) + np.repeat(start - to[:-1], size)]
+def _pick(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs values[bounds[i] : bounds[i + 1]] for each i of which, joined; their bounds)."""
+    if not len(which):
+        return values[:0], np.zeros(1, np.int64)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(4 * bounds), pa.py_buffer(values)]).take(pa.array(which))
+    at = np.frombuffer(runs.buffers()[1], "<i8", len(which) + 1) // 4
+    return np.frombuffer(runs.buffers()[2], "<u4", at[-1]) if at[-1] else values[:0], at
+
+
+class _Runs:
+    """Ids of strings: those of string s are ids[bounds[i] : bounds[i + 1]] with i = at[s]. Place 0 is an empty run."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.ids, self.bounds = np.empty(0, "<u4"), np.zeros(2, np.int64)
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The place of each key; -1 where there is none."""
+        return np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.bounds) - 1
+        self.at.update(zip(keys, range(first, first + len(keys))))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
 
 
 class PieceEncoder:
     """Ids of texts under one tokenizers file; pieces met among the last `max_cached` to twice as many are remembered.
 
-    Marks behind letters are looked up alone. Runs of letters are encoded many at a time, with
-    a separator between them that has an id of its own."""
+    Marks behind letters are looked up alone. Runs of letters are encoded many at a time: with a separator between
+    them that has an id of its own, or with what the rules leave of them where the last id of a word shows that it ends."""
 
-    def __init__(self, path: str, spaces: bool, max_cached: int = 200_000):
+    def __init__(self, path: str, spaces: bool, max_cached: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.spaces, self.max_cached = spaces, max_cached
         self.between = "\r" if spaces else " \x01 "
         (self.mark,) = self._ids([self.between])[0]
-        self.light = None
-        if not spaces:  # what the rules leave of lower-case ASCII letters: each run is one word
-            from tokenizers import normalizers, pre_tokenizers
-
-            self.light = Tokenizer.from_file(path)
-            self.light.normalizer = normalizers.Sequence([])
-            self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(self.between.strip(), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.runs: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # those of the time before, kept as long as they are met again
+        self.light = []
+        if not spaces:  # of lower-case LETTERS the rules leave each run as one word: of ASCII as it is, of others in bytes
+            cut, to_bytes = pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            for rules in (cut, pre_tokenizers.Sequence([cut, to_bytes])):
+                self.light.append(light := Tokenizer.from_file(path))
+                light.normalizer, light.pre_tokenizer = normalizers.Sequence([]), rules
+            vocabulary, suffix = self.tok.get_vocab(), self.tok.model.end_of_word_suffix
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.runs, self.before = _Runs(), _Runs()  # those of the time before are kept as long as they are met again
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, pieces: list[str]) -> None:
-        plain, simple, other = [], [], []
-        for p in pieces:
-            if not p[p[:1] == " " :].isalpha():
-                other.append(p)
-            elif self.light and p.isascii() and p.islower():
-                simple.append(p)
-            else:
-                plain.append(p)
-        self._learn_runs(self.tok, plain, self.between)
-        self._learn_runs(self.light, simple, self.between.strip())
-        self.runs.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(other, self._ids(other)))
-
-    def _learn_runs(self, tokenizer, runs: list[str], between: str) -> None:
+        rest = pieces
+        if self.light:
+            words = pa.array(pieces, pa.large_string())
+            simple = pc.match_substring_regex(words, rf"^[{LETTERS}]+$")
+            runs, rest = words.filter(simple), words.filter(pc.invert(simple)).to_pylist()
+            for light, mine in zip(self.light, (pc.string_is_ascii(runs), pc.invert(pc.string_is_ascii(runs)))):
+                part = runs.filter(mine)
+                self._learn_runs(light, strings(part), strings(pc.utf8_lower(part)), " ")
+        plain, other = [], []
+        for p in rest:
+            (plain if p[p[:1] == " " :].isalpha() else other).append(p)
+        self._learn_runs(self.tok, plain, plain, self.between)
+        ids = self._ids(other)
+        self.runs.add(other, np.array([i for x in ids for i in x], "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn_runs(self, tokenizer, keys: list[str], runs: list[str], between: str) -> None:
+        ids, sizes = [], []
         for lo in range(0, len(runs), 500):
             part = runs[lo : lo + 500]
-            ids = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.mark).tolist()
-            if len(at) != len(part) - 1:
+            got = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            if tokenizer is self.tok:
+                apart = got != self.mark
+                ends = np.append(np.flatnonzero(~apart) - np.arange(len(got) - apart.sum()), apart.sum())
+                got = got[apart]
+            else:
+                ends = np.flatnonzero(self.closes[got]) + 1
+            if len(ends) != len(part):
                 raise ValueError("a run of letters holds the separator")
-            data = ids.tobytes()
-            self.runs.update((r, data[4 * a + 4 : 4 * z]) for r, a, z in zip(part, [-1, *at], [*at, len(ids)]))
+            ids.append(got)
+            sizes.append(np.diff(ends, prepend=0))
+        if runs:
+            self.runs.add(keys, np.concatenate(ids), np.concatenate(sizes))
+
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Where the ids of each key are in self.runs."""
+        if len(self.runs.at) > self.max_cached:
+            self.before, self.runs = self.runs, _Runs()
+        at = self.runs.find(keys)
+        if len(new := np.flatnonzero(at < 0)):
+            missing = [keys[i] for i in new.tolist()]
+            old = self.before.find(missing)
+            ids, bounds = _pick(self.before.ids, self.before.bounds, old[old >= 0])
+            self.runs.add([k for k, i in zip(missing, old.tolist()) if i >= 0], ids, np.diff(bounds))
+            if (old < 0).any():
+                self._learn([k for k, i in zip(missing, old.tolist()) if i < 0])
+            at[new] = self.runs.find(missing)
+        return at
 
     def _table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of distinct pieces, bounds of each)."""
@@ -144,31 +198,18 @@ class PieceEncoder:
         marked = pc.match_substring_regex(pieces, rf"^\x1f?[{LETTERS}]+[{MARKS}]+$")
         heads = pc.if_else(marked, pc.utf8_rtrim(pieces, MARKS_TEXT), pieces)
         d, which = heads.dictionary_encode(), np.flatnonzero(marked.to_numpy(zero_copy_only=False))
-        words = d.dictionary.to_pylist()
+        words = strings(d.dictionary)
         if self.spaces:
             words = [w[1:] if w[:1] == "\x1f" else w if w == "\n" else " " + w for w in words]
         some = pa.array(which)
         tails = pc.replace_substring_regex(pieces.take(some), rf"^\x1f?[{LETTERS}]+", "")
         t = tails.dictionary_encode()
-        ends = t.dictionary.to_pylist()
-        if len(self.runs) > self.max_cached:
-            self.before, self.runs = self.runs, {}
-        runs, before = self.runs, self.before
-        if missing := [w for w in (*words, *ends) if w not in runs]:
-            known = [w for w in missing if w in before]
-            runs.update((w, before[w]) for w in known)
-            if len(known) < len(missing):
-                self._learn([w for w in missing if w not in runs])
-        got = [runs[w] for w in words]
-        got += [runs[w] for w in ends]
-        values, bounds = np.frombuffer(b"".join(got), "<u4"), _bounds(np.fromiter(map(len, got), np.int64, len(got)) // 4)
-        sizes = np.diff(bounds)
-        both = np.empty((len(pieces), 2), np.int64)  # each piece is its head and, perhaps, its marks
-        both[:, 0], both[:, 1] = d.indices.to_numpy(zero_copy_only=False), -1
-        both[which, 1] = len(words) + t.indices.to_numpy(zero_copy_only=False)
-        both = both.reshape(-1)
-        size = np.where(both < 0, 0, sizes[both])
-        return _gather(values, bounds[:-1][both], size), _bounds(size.reshape(-1, 2).sum(1))
+        at = self._places(words + strings(t.dictionary))
+        both = np.zeros((len(pieces), 2), np.int64)  # each piece is its head and, perhaps, its marks
+        both[:, 0] = at[d.indices.to_numpy(zero_copy_only=False)]
+        both[which, 1] = at[len(words) :][t.indices.to_numpy(zero_copy_only=False)]
+        ids, bounds = _pick(self.runs.ids, self.runs.bounds, both.reshape(-1))
+        return ids, bounds[::2]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, row offsets); a null text is empty, `end_id` closes each row."""
@@ -183,19 +224,16 @@ class PieceEncoder:
         parts = pc.split_pattern(cut, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         d = parts.values.dictionary_encode()
-        codes = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         ids, bounds = self._table(d.dictionary)
+        more = [np.array([end_id], "<u4")]
+        starts = offsets + np.arange(len(offsets))  # with a piece at the end of each row that is the end id
+        codes = np.insert(d.indices.to_numpy(zero_copy_only=False), offsets[1:], len(bounds) - 1)
         if len(whole):  # such a row is one piece, and gets the ids of its whole text
-            more = [np.array(x, np.uint32) for x in self._ids(pc.take(texts, pa.array(whole)).to_pylist())]
-            codes[offsets[whole]] = len(bounds) - 1 + np.arange(len(whole))
-            ids = np.concatenate([ids, *more])
-            bounds = np.concatenate([bounds, bounds[-1] + np.cumsum([len(x) for x in more])])
-        start, size = bounds[codes], np.diff(bounds)[codes]
-        ends = _bounds(size)[offsets] + np.arange(len(offsets))
-        out, inner = np.full(int(ends[-1]), end_id, np.uint32), np.ones(int(ends[-1]), bool)
-        inner[ends[1:] - 1] = False
-        out[inner] = _gather(ids, start, size)
-        return out, ends
+            more += [np.array(x, "<u4") for x in self._ids(pc.take(texts, pa.array(whole)).to_pylist())]
+            codes[starts[whole]] = len(bounds) + np.arange(len(whole))
+        ids, bounds = np.concatenate([ids, *more]), np.concatenate([bounds, bounds[-1] + np.cumsum([len(x) for x in more])])
+        out, ends = _pick(ids, bounds, codes)
+        return out, ends[starts]
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
